@@ -13,4 +13,13 @@ select doc_id, count(*) as n_lines, cast(count(*) filter (gone) as bigint) as n_
 from j group by doc_id
 """
 
-ORACLES = {"op1_line_dedup": OP1}
+OP4 = r"""
+with p as (select page_id, coalesce(html, '') as h, strlen(coalesce(html, '')) as n, sha256(coalesce(html, '')) as d from pages),
+f as (select d, min(page_id) as first from p where n >= 100 group by d)
+select p.page_id, cast(p.n as bigint) as payload_bytes, p.d as payload_digest,
+       case when f.first is null or f.first = p.page_id then 'response' else 'revisit' end as record_type,
+       case when f.first <> p.page_id then f.first end as refers_to, true as digest_ok, cast(null as varchar) as error
+from p left join f on p.d = f.d
+"""
+
+ORACLES = {"op1_line_dedup": OP1, "op4_warc": OP4}

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup
-from .common import table
+from . import language_id, line_dedup, warc
+from .common import id_remainder, stage, table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +14,21 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = stage(warc.write_archives(table(spark, sf_dir, "pages")), "warc")
+    records = warc.read_archives(archives)
+    number = lambda c: F.regexp_extract(c, r"(-?\d+)>$", 1).try_cast("long")
+    return records.select(number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", number(F.col("refers_to")).alias("refers_to"), "digest_ok", "error")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(id_remainder("doc_id", 4) == 2, F.lit(False)))
+    profiles = language_id.fit_profiles(docs.filter("not held_out"))
+    return language_id.identify(docs.select("doc_id", "text", "held_out"), profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op4_warc": op4_warc,
+    "op10_language_id": op10_language_id,
 }
