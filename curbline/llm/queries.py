@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, warc
+from . import language_id, line_dedup, toxicity, warc
 from .common import id_remainder, stage, table
 
 
@@ -14,6 +14,13 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(id_remainder("doc_id", 3) == 1, F.lit(False))
+    index = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    return toxicity.score(docs.withColumn("held_out", held_out), index).select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = stage(warc.write_archives(table(spark, sf_dir, "pages")), "warc")
     records = warc.read_archives(archives)
@@ -29,6 +36,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_toxicity": op2_toxicity,
     "op4_warc": op4_warc,
     "op10_language_id": op10_language_id,
 }
