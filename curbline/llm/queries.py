@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, toxicity, warc
+from . import bpe, language_id, line_dedup, toxicity, warc
 from .common import id_remainder, stage, table
 
 
@@ -28,6 +29,13 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", number(F.col("refers_to")).alias("refers_to"), "digest_ok", "error")
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text"), path)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(id_remainder("doc_id", 4) == 2, F.lit(False)))
     profiles = language_id.fit_profiles(docs.filter("not held_out"))
@@ -38,5 +46,6 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
     "op4_warc": op4_warc,
+    "op6_bpe": op6_bpe,
     "op10_language_id": op10_language_id,
 }
