@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, line_dedup, toxicity, warc
+from . import bpe, decontaminate, language_id, line_dedup, secrets, toxicity, warc
 from .common import id_remainder, stage, table
 
 
@@ -22,6 +22,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.withColumn("held_out", held_out), index).select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return hits.select("doc_id", "item_id", F.round("score", 6).alias("score"), "start", "end")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = stage(warc.write_archives(table(spark, sf_dir, "pages")), "warc")
     records = warc.read_archives(archives)
@@ -36,6 +41,14 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("secrets", lambda s: s["kind"] != "novel")
+    return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(line(base), 256).alias("base_sha256"), line("secrets").alias("spans"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(id_remainder("doc_id", 4) == 2, F.lit(False)))
     profiles = language_id.fit_profiles(docs.filter("not held_out"))
@@ -45,7 +58,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
+    "op3_decontaminate": op3_decontaminate,
     "op4_warc": op4_warc,
     "op6_bpe": op6_bpe,
+    "op9_secrets": op9_secrets,
     "op10_language_id": op10_language_id,
 }
