@@ -35,6 +35,7 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.mode("overwrite").parquet(path)
+    spark._jvm.System.gc()  # what only the written plan needed, its shuffle files above all, can go now
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, line_dedup, secrets, toxicity, warc
+from . import bpe, decontaminate, language_id, line_dedup, ngram_join, secrets, toxicity, warc
 from .common import id_remainder, stage, table
 
 
@@ -41,6 +41,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_classes(table(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -61,6 +65,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_warc": op4_warc,
     "op6_bpe": op6_bpe,
+    "op7_ngram_join": op7_ngram_join,
     "op9_secrets": op9_secrets,
     "op10_language_id": op10_language_id,
 }
