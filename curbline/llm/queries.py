@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, line_dedup, ngram_join, secrets, toxicity, warc
+from . import bpe, decontaminate, embedding_dedup, language_id, line_dedup, ngram_join, secrets, toxicity, warc
 from .common import id_remainder, stage, table
 
 
@@ -34,6 +34,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", number(F.col("refers_to")).alias("refers_to"), "digest_ok", "error")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text"), path)
@@ -64,6 +68,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_decontaminate": op3_decontaminate,
     "op4_warc": op4_warc,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_bpe": op6_bpe,
     "op7_ngram_join": op7_ngram_join,
     "op9_secrets": op9_secrets,
