@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embedding_dedup, language_id, line_dedup, ngram_join, secrets, toxicity, warc
+from . import bpe, decontaminate, embedding_dedup, language_id, line_dedup, ngram_join, secrets, substring_dedup, toxicity, warc
 from .common import id_remainder, stage, table
 
 
@@ -49,6 +49,12 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_classes(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -71,6 +77,7 @@ QUERIES = {
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_bpe": op6_bpe,
     "op7_ngram_join": op7_ngram_join,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_secrets": op9_secrets,
     "op10_language_id": op10_language_id,
 }
