@@ -30,70 +30,101 @@ BLOCK = 64
 RESULT = "score double, predicted int, neighbours array<struct<id:long,cosine:double,label:int>>, terms array<string>"
 
 
-def features(text: str) -> Counter:
-    """Counts of words, and of beginnings of longer words (with a trailing ~)."""
-    found: Counter = Counter()
+def features(text: str, known: dict[str, int] | None = None, stems: frozenset[str] = frozenset()) -> dict[str, int]:
+    """Counts of words, and of beginnings of longer words (with a trailing ~).
+
+    With ``known`` only its terms are counted; ``stems`` are then the first letters of its beginnings.
+    """
+    found: dict[str, int] = {}
     for word, n in Counter(WORD.findall(text.lower())).items():
-        found[word] += n
-        for k in PREFIXES:
-            if len(word) > k:
-                found[word[:k] + "~"] += n
+        if known is None or word in known:
+            found[word] = found.get(word, 0) + n
+        if known is None or word[: PREFIXES[0]] in stems:
+            for k in PREFIXES:
+                if len(word) > k:
+                    t = word[:k] + "~"
+                    if known is None or t in known:
+                        found[t] = found.get(t, 0) + n
     return found
 
 
+def distinct_terms(rows: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Of a word and its beginnings that stand in equally many examples of either label, the shortest form alone."""
+    best: dict[tuple, tuple[str, int, int]] = {}
+    for t, n0, n1 in rows:
+        key = (t[: PREFIXES[0]].rstrip("~"), n0, n1)
+        if key not in best or (len(t), t) < (len(best[key][0]), best[key][0]):
+            best[key] = (t, n0, n1)
+    return [r for r in rows if best[r[0][: PREFIXES[0]].rstrip("~"), r[1], r[2]] == r]
+
+
 @dataclass
 class BlockMaxIndex:
-    """Examples in blocks of BLOCK; of every term, its postings and its largest weight in each block."""
+    """Examples in blocks of BLOCK: the postings of each block together, and of every term the largest weight in each block."""
 
     ids: list[int]
     labels: np.ndarray
     prior: np.ndarray  # weight of each example's vote
-    idf: dict[str, float]
-    postings: dict[str, tuple[np.ndarray, np.ndarray]]
-    tops: dict[str, tuple[np.ndarray, np.ndarray]]
+    terms: list[str]
+    idf: np.ndarray
+    cuts: np.ndarray  # where each block's postings begin
+    post_term: np.ndarray
+    post_row: np.ndarray
+    post_weight: np.ndarray
+    tops: np.ndarray  # (term, block)
     base: float  # share of label 1 among texts without any term
     steps: tuple[list[float], list[float]] = ((), ())  # the calibration: from each vote on, a score
 
+    def __post_init__(self):
+        self.column = {t: j for j, t in enumerate(self.terms)}
+        self.stems = frozenset(t[: PREFIXES[0]] for t in self.terms if t.endswith("~"))
+
     @classmethod
-    def build(cls, ids, vectors: list[dict[str, float]], labels, prior, idf, base) -> BlockMaxIndex:
+    def build(cls, ids, vectors, labels, prior, terms, idf, base) -> BlockMaxIndex:
+        """``vectors`` are (columns, weights); examples without a term are left out."""
         # Examples that share their heaviest term stand together, which keeps the blocks' bounds tight.
-        order = sorted((i for i, v in enumerate(vectors) if v), key=lambda i: (max(vectors[i], key=lambda t: (vectors[i][t], t)), labels[i], ids[i]))
-        lists: dict[str, list[tuple[int, float]]] = {}
-        for at, i in enumerate(order):
-            for t, w in vectors[i].items():
-                lists.setdefault(t, []).append((at, w))
-        postings = {t: (np.array([a for a, _ in p], np.int32), np.array([w for _, w in p])) for t, p in lists.items()}
-        tops = {}
-        for t, (at, w) in postings.items():
-            blocks, first = np.unique(at // BLOCK, return_index=True)
-            tops[t] = (blocks, np.maximum.reduceat(w, first))
-        return cls([ids[i] for i in order], np.array([labels[i] for i in order], np.int8), np.array([prior[i] for i in order]), idf, postings, tops, base)
-
-    def vector(self, counts: Counter) -> dict[str, float]:
-        """The unit TF-IDF vector of a text, over the index's terms."""
-        v = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items() if t in self.idf}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        return {t: x / norm for t, x in v.items()} if norm else {}
-
-    def nearest(self, v: dict[str, float], k: int, but: int = -1) -> list[tuple[float, int]]:
+        order = sorted((i for i, (c, _) in enumerate(vectors) if len(c)), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]), labels[i], ids[i]))
+        blocks = -(-len(order) // BLOCK)
+        size = np.array([len(vectors[i][0]) for i in order], np.int64)
+        row = np.repeat(np.arange(len(order)), size)
+        term = np.concatenate([vectors[i][0] for i in order] or [np.zeros(0, np.int64)])
+        weight = np.concatenate([vectors[i][1] for i in order] or [np.zeros(0)])
+        tops = np.zeros((len(terms), blocks))
+        np.maximum.at(tops, (term, row // BLOCK), weight)
+        cuts = np.searchsorted(row, np.arange(blocks + 1) * BLOCK)
+        return cls([ids[i] for i in order], np.array([labels[i] for i in order], np.int8), np.array([prior[i] for i in order]), list(terms), np.asarray(idf, float), cuts, term, row % BLOCK, weight, tops, base)
+
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The unit TF-IDF vector of a text over the index's terms, as (columns, weights)."""
+        found = features(text, self.column, self.stems)
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0)
+        columns = np.array([self.column[t] for t in found], np.int64)
+        weights = (1 + np.log(np.fromiter(found.values(), float, len(found)))) * self.idf[columns]
+        return columns, weights / np.sqrt(weights @ weights)
+
+    def nearest(self, v: tuple[np.ndarray, np.ndarray], k: int, but: int = -1) -> list[tuple[float, int]]:
         """The k examples of highest cosine (ties: first in the index), without example ``but``."""
-        bound = np.zeros(len(self.ids) // BLOCK + 1)
-        terms = [(t, x) for t, x in v.items() if t in self.postings]
-        for t, x in terms:
-            blocks, top = self.tops[t]
-            bound[blocks] += x * top
-        best: list[tuple[float, int]] = []
+        columns, weights = v
+        if not len(columns) or not self.ids:
+            return []
+        bound = weights @ self.tops[columns]
+        query = np.zeros(len(self.terms))
+        query[columns] = weights
+        cosines, rows, floor = np.zeros(0), np.zeros(0, np.int64), 0.0
         for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < -best[-1][0] - 1e-12:
+            if bound[b] <= 0 or len(rows) >= k and bound[b] < floor - 1e-12:
                 break
-            cosine = np.zeros(BLOCK)
-            for t, x in terms:
-                at, w = self.postings[t]
-                lo, hi = np.searchsorted(at, (b * BLOCK, (b + 1) * BLOCK))
-                cosine[at[lo:hi] - b * BLOCK] += x * w[lo:hi]
-            hit = np.flatnonzero(cosine)
-            best = sorted([*best, *((-float(cosine[i]), int(b) * BLOCK + int(i)) for i in hit if b * BLOCK + i != but)])[:k]
-        return [(-c, i) for c, i in best]
+            lo, hi = self.cuts[b], self.cuts[b + 1]
+            cosine = np.bincount(self.post_row[lo:hi], query[self.post_term[lo:hi]] * self.post_weight[lo:hi], BLOCK)
+            hit = np.flatnonzero(cosine >= floor - 1e-12) if len(rows) >= k else np.flatnonzero(cosine)
+            hit = hit[(cosine[hit] > 0) & (hit + b * BLOCK != but)]
+            if hit.size:
+                cosines, rows = np.concatenate((cosines, cosine[hit])), np.concatenate((rows, hit + b * BLOCK))
+                best = np.lexsort((rows, -cosines))[:k]
+                cosines, rows = cosines[best], rows[best]
+                floor = float(cosines[-1])
+        return list(zip(cosines.tolist(), rows.tolist()))
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         if not near:
@@ -152,29 +183,30 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     size = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     s0, s1 = float(size.get(0, 0)), float(size.get(1, 0))
     if not s0 or not s1:
-        return BlockMaxIndex.build([], [], [], [], {}, 1.0 if s1 else 0.0 if s0 else 0.5)
+        return BlockMaxIndex.build([], [], [], [], [], [], 1.0 if s1 else 0.0 if s0 else 0.5)
     p = (F.col("n0") + F.col("n1")) / F.lit(s0 + s1)
     z = (F.col("n1") / F.lit(s1) - F.col("n0") / F.lit(s0)) / F.sqrt(p * (1 - p) * F.lit(1 / s0 + 1 / s1))
     terms = sample.mapInArrow(counted, "t string, n0 long, n1 long").groupBy("t").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     terms = terms.filter(F.col("n0") + F.col("n1") >= min_docs).withColumn("z", F.abs(z)).filter(F.col("z") >= min_z).orderBy(F.desc("z"), "t").limit(max_terms).collect()
+    terms = distinct_terms([(r["t"], r["n0"], r["n1"]) for r in terms])
     prior = {y: share[y] / size[y] for y in (0, 1)}
     everything = share[0] + share[1]
-    idf = {r["t"]: math.log(1 + everything / (r["n0"] * prior[0] + r["n1"] * prior[1])) for r in terms}
+    names, idf = [t for t, _, _ in terms], [math.log(1 + everything / (n0 * prior[0] + n1 * prior[1])) for _, n0, n1 in terms]
+    coder = BlockMaxIndex.build([], [], [], [], names, idf, 0.5)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [{t: n for t, n in features(x).items() if t in idf} for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int64()))], ["id", "y", "t", "n"])
+            found = [coder.vector(x) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array([c for c, _ in found], pa.list_(pa.int64())), pa.array([w for _, w in found], pa.list_(pa.float64()))], ["id", "y", "c", "w"])
 
-    got = sample.select("id", "y", "text").mapInArrow(vectors, "id long, y int, t array<string>, n array<long>").orderBy("id", "y").collect()
-    blank = {y: sum(1 for r in got if r["y"] == y and not r["t"]) * prior[y] for y in (0, 1)}
+    got = sample.select("id", "y", "text").mapInArrow(vectors, "id long, y int, c array<long>, w array<double>").orderBy("id", "y").collect()
+    blank = {y: sum(1 for r in got if r["y"] == y and not r["c"]) * prior[y] for y in (0, 1)}
     base = (blank[1] + 0.5) / (blank[0] + blank[1] + 1)
-    empty = BlockMaxIndex.build([], [], [], [], idf, base)
-    units = [empty.vector(Counter(dict(zip(r["t"], r["n"])))) for r in got]
-    index = BlockMaxIndex.build([r["id"] for r in got], units, [r["y"] for r in got], [prior[r["y"]] for r in got], idf, base)
+    units = [(np.array(r["c"], np.int64), np.array(r["w"], float)) for r in got]
+    index = BlockMaxIndex.build([r["id"] for r in got], units, [r["y"] for r in got], [prior[r["y"]] for r in got], names, idf, base)
     unit_of = {(r["id"], r["y"]): u for r, u in zip(got, units)}
     votes = np.array([index.vote(index.nearest(unit_of[i, int(y)], k, at)) for at, (i, y) in enumerate(zip(index.ids, index.labels))])
-    blanks = [r["y"] for r in got if not r["t"]]
+    blanks = [r["y"] for r in got if not r["c"]]
     index.steps = monotone_steps(np.concatenate([votes, np.full(len(blanks), base)]), np.concatenate([index.labels, blanks]), np.concatenate([index.prior, [prior[y] for y in blanks]]))
     return index
 
@@ -199,11 +231,11 @@ def score(docs: DataFrame, index: BlockMaxIndex, text_col: str = "text", thresho
         for batch in batches:
             scores, near, terms = [], [], []
             for text in batch.column(at):
-                v = x.vector(features(text.as_py() or ""))
-                found = x.nearest(v, k) if v else []
+                v = x.vector(text.as_py() or "")
+                found = x.nearest(v, k)
                 scores.append(x.score(found))
                 near.append([{"id": x.ids[i], "cosine": c, "label": int(x.labels[i])} for c, i in found])
-                terms.append(sorted(v, key=lambda t: (-v[t], t))[:8])
+                terms.append([x.terms[v[0][j]] for j in np.argsort(-v[1], kind="stable")[:8]])
             columns = [pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(near, near_type), pa.array(terms, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*kept, *added])
 
