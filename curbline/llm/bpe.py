@@ -14,11 +14,13 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,15 +59,17 @@ class WordBpe:
             self.token[i] = t
         self.rank = np.full(size, -1, np.int64)  # of the merge that makes a token
         self.left, self.right = np.arange(size), np.arange(size)
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.made: list[int] = []  # token of each merge, by rank
+        self.rank_of: dict[int, int] = {}  # of a pair, as first * size + second
         for r, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"]):
             x, y, made = vocab[a], vocab[b], vocab[a + b]
-            self.merges[x, y] = (r, made)
+            self.made.append(made)
+            self.rank_of[x * size + y] = r
             if self.rank[made] < 0:
                 self.rank[made], self.left[made], self.right[made] = r, x, y
-        keys = np.array([x * size + y for x, y in self.merges], np.int64)
+        keys = np.fromiter(self.rank_of, np.int64)
         order = np.argsort(keys)
-        self.size, self.keys, self.ranks = size, keys[order], np.array([r for r, _ in self.merges.values()], np.int64)[order]
+        self.size, self.keys, self.ranks = size, keys[order], np.fromiter(self.rank_of.values(), np.int64)[order]
         sound = np.ones(size, bool)  # tokens that merging their own text does give
         made = np.flatnonzero(self.rank >= 0)
         sound[made] = self.compatible(self.left[made], self.right[made], self.rank[made])
@@ -75,7 +79,9 @@ class WordBpe:
         self.closing = {t[: -len(END)]: i for t, i in vocab.items() if t.endswith(END) and sound[i]}
         self.letters = {b: s for b, s in byte_letters().items() if chr(b) != s}
         self.vocab = vocab
-        self.longest = max(map(len, [*self.inner, *self.closing]))
+        self.reach: dict[str, int] = {}  # length of the longest inner token by its first two letters
+        for t in self.inner:
+            self.reach[t[:2]] = max(self.reach.get(t[:2], 1), len(t))
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
@@ -114,7 +120,7 @@ class WordBpe:
             if last is not None:
                 out.append(last)
                 return out
-            for end in range(min(n - 1, at + self.longest), at, -1):
+            for end in range(min(n - 1, at + self.reach.get(word[at : at + 2], 1)), at, -1):
                 t = inner.get(word[at:end])
                 if t is not None:
                     out.append(t)
@@ -124,14 +130,21 @@ class WordBpe:
                 return None
 
     def merged(self, word: str) -> list[int]:
-        """Exact merging, lowest rank first and leftmost among equals."""
+        """Exact merging, lowest rank first and leftmost among equals; a merge changes its neighbours' ranks only."""
         parts = [self.vocab[c] for c in word[:-1]] + [self.vocab[word[-1] + END]]
-        while len(parts) > 1:
-            best = min(((self.merges[p][0], i) for i, p in enumerate(zip(parts, parts[1:])) if p in self.merges), default=None)
-            if best is None:
+        rank_of, size, none = self.rank_of, self.size, int(NEVER)
+        ranks = [rank_of.get(a * size + b, none) for a, b in zip(parts, parts[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
-            i = best[1]
-            parts[i : i + 2] = [self.merges[parts[i], parts[i + 1]][1]]
+            i = ranks.index(best)
+            parts[i] = self.made[best]
+            del parts[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rank_of.get(parts[i - 1] * size + parts[i], none)
+            if i < len(ranks):
+                ranks[i] = rank_of.get(parts[i] * size + parts[i + 1], none)
         return parts
 
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
@@ -143,7 +156,13 @@ class WordBpe:
         owner = np.repeat(np.arange(len(guess)), sizes)
         inside = np.flatnonzero(owner[1:] == owner[:-1]) if flat.size else np.zeros(0, np.int64)
         failed = {*owner[inside[~self.compatible(flat[inside], flat[inside + 1])]].tolist()}
-        return {w: np.array(self.merged(s) if g is None or k in failed else g, np.int32).tobytes() for k, (w, s, g) in enumerate(zip(words, spelled, guess))}
+        return {w: array("i", self.merged(s) if g is None or k in failed else g).tobytes() for k, (w, s, g) in enumerate(zip(words, spelled, guess))}
+
+    def _pieces(self, chunk: str) -> list[str]:
+        if chunk.isascii():
+            low = chunk.lower()
+            return [low] if low.isalpha() else self.pieces.findall(low)
+        return self.pieces.findall(unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower())
 
     def _learn(self, texts: list[list[str]]) -> None:
         """Make the ids of all chunks (white-space separated strings) that are not yet known."""
@@ -152,7 +171,7 @@ class WordBpe:
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
         new = {c for text in texts for c in text if c not in self.chunks}
-        split = {c: self.pieces.findall(unicodedata.normalize("NFC", c).replace("Σ", "σ").lower()) for c in new}
+        split = {c: self._pieces(c) for c in new}
         if unknown := [*{w for words in split.values() for w in words if w not in self.words}]:
             self.words.update(self.encode_words(unknown))
         for c, words in split.items():
@@ -182,13 +201,15 @@ class WordBpe:
                     yield b"".join(map(get, spans))
                 group, size = [], 0
 
-    def decode(self, ids: list[int]) -> str:
-        """Token texts with a blank between them; ids out of the vocabulary give nothing."""
-        token = self.token
-        try:
-            return " ".join(map(token.__getitem__, ids))
-        except IndexError:
-            return " ".join(token[i] for i in ids if 0 <= i < len(token) and token[i])
+    def decode(self, ids: pa.Array) -> pa.Array:
+        """Texts of a list array of ids: the tokens' texts with a blank between them; unknown ids give nothing."""
+        sizes, values = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(), ids.flatten()
+        known = pc.and_(pc.greater_equal(values, 0), pc.less(values, len(self.token)))
+        if not pc.all(known).as_py():
+            rows = np.repeat(np.arange(len(sizes)), sizes)[known.to_numpy(zero_copy_only=False)]
+            sizes, values = np.bincount(rows, minlength=len(sizes)), values.filter(known)
+        offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+        return pc.binary_join(pa.ListArray.from_arrays(offsets, pa.array(self.token, pa.string()).take(values)), " ")
 
 
 @lru_cache(2)
@@ -232,6 +253,6 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "de
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([model.decode(x or []) for x in part.column(at).to_pylist()], pa.string())], [*kept, text_col])
+                yield pa.RecordBatch.from_arrays([*part.columns, model.decode(part.column(at))], [*kept, text_col])
 
     return rows.select(*kept).mapInArrow(run, schema)
