@@ -29,7 +29,7 @@ def neighbourhood(df: DataFrame, window: int, carry: tuple[str, ...], slab: int
     df = df.withColumn("__uid", F.struct(F.monotonically_increasing_id().alias("a"))["a"])
     own = F.floor(F.col("rank") / slab).cast("long")
     # Rows near a slab's edge are repeated there as guests.
-    slabs = F.array_distinct(F.array(F.floor((F.col("rank") - window) / slab), own, F.floor((F.col("rank") + window) / slab)))
+    slabs = F.sequence(F.floor((F.col("rank") - window) / slab), F.floor((F.col("rank") + window) / slab))
     dealt = df.filter(placed).withColumn("__slab", F.explode(slabs)).withColumn("__guest", F.col("__slab") != own)
     w = Window.partitionBy("collection", "__slab").orderBy("rank").rangeBetween(-window, window)
     everyone = F.collect_list(F.struct(F.col("__uid").alias("uid"), *carry)).over(w)
