@@ -60,15 +60,14 @@ def distinct_terms(rows: list[tuple[str, int, int]]) -> list[tuple[str, int, int
 
 @dataclass
 class BlockMaxIndex:
-    """Examples in blocks of BLOCK: the postings of each block together, and of every term the largest weight in each block."""
+    """Examples in blocks of BLOCK; of every term, its postings and its largest weight in each block."""
 
     ids: list[int]
     labels: np.ndarray
     prior: np.ndarray  # weight of each example's vote
     terms: list[str]
     idf: np.ndarray
-    cuts: np.ndarray  # where each block's postings begin
-    post_term: np.ndarray
+    cuts: np.ndarray  # where each term's postings begin
     post_row: np.ndarray
     post_weight: np.ndarray
     tops: np.ndarray  # (term, block)
@@ -91,8 +90,9 @@ class BlockMaxIndex:
         weight = np.concatenate([vectors[i][1] for i in order] or [np.zeros(0)])
         tops = np.zeros((len(terms), blocks))
         np.maximum.at(tops, (term, row // BLOCK), weight)
-        cuts = np.searchsorted(row, np.arange(blocks + 1) * BLOCK)
-        return cls([ids[i] for i in order], np.array([labels[i] for i in order], np.int8), np.array([prior[i] for i in order]), list(terms), np.asarray(idf, float), cuts, term, row % BLOCK, weight, tops, base)
+        by_term = np.lexsort((row, term))
+        cuts = np.searchsorted(term[by_term], np.arange(len(terms) + 1))
+        return cls([ids[i] for i in order], np.array([labels[i] for i in order], np.int8), np.array([prior[i] for i in order]), list(terms), np.asarray(idf, float), cuts, row[by_term], weight[by_term], tops, base)
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The unit TF-IDF vector of a text over the index's terms, as (columns, weights)."""
@@ -103,28 +103,40 @@ class BlockMaxIndex:
         weights = (1 + np.log(np.fromiter(found.values(), float, len(found)))) * self.idf[columns]
         return columns, weights / np.sqrt(weights @ weights)
 
-    def nearest(self, v: tuple[np.ndarray, np.ndarray], k: int, but: int = -1) -> list[tuple[float, int]]:
-        """The k examples of highest cosine (ties: first in the index), without example ``but``."""
+    def nearest(self, v: tuple[np.ndarray, np.ndarray], k: int, but: int = -1, lead: int = 4) -> list[tuple[float, int]]:
+        """The k examples of highest cosine (ties: first in the index), without example ``but``.
+
+        The ``lead`` blocks of highest bound set a floor; then all blocks whose bound reaches it are scored at once.
+        """
         columns, weights = v
         if not len(columns) or not self.ids:
             return []
         bound = weights @ self.tops[columns]
-        query = np.zeros(len(self.terms))
-        query[columns] = weights
-        cosines, rows, floor = np.zeros(0), np.zeros(0, np.int64), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(rows) >= k and bound[b] < floor - 1e-12:
-                break
-            lo, hi = self.cuts[b], self.cuts[b + 1]
-            cosine = np.bincount(self.post_row[lo:hi], query[self.post_term[lo:hi]] * self.post_weight[lo:hi], BLOCK)
-            hit = np.flatnonzero(cosine >= floor - 1e-12) if len(rows) >= k else np.flatnonzero(cosine)
-            hit = hit[(cosine[hit] > 0) & (hit + b * BLOCK != but)]
-            if hit.size:
-                cosines, rows = np.concatenate((cosines, cosine[hit])), np.concatenate((rows, hit + b * BLOCK))
-                best = np.lexsort((rows, -cosines))[:k]
-                cosines, rows = cosines[best], rows[best]
-                floor = float(cosines[-1])
-        return list(zip(cosines.tolist(), rows.tolist()))
+        sizes = self.cuts[columns + 1] - self.cuts[columns]
+        at = np.repeat(self.cuts[columns + 1] - np.cumsum(sizes), sizes) + np.arange(sizes.sum())
+        rows, parts = self.post_row[at], self.post_weight[at] * np.repeat(weights, sizes)
+        blocks = rows // BLOCK
+        n, open_ = len(self.ids), np.zeros(len(bound), bool)
+        cosine = np.zeros(n)
+        if len(bound) > lead:
+            open_[np.argpartition(-bound, lead)[:lead]] = True
+            near = open_[blocks]
+            cosine = np.bincount(rows[near], parts[near], n)
+            if but >= 0:
+                cosine[but] = 0.0
+            floor = np.partition(cosine, -k)[-k] if n > k else 0.0
+            open_ = ~open_ & (bound > 0) & (bound >= floor - 1e-12)
+        else:
+            open_[:] = True
+        near = open_[blocks]
+        cosine += np.bincount(rows[near], parts[near], n)
+        if but >= 0:
+            cosine[but] = 0.0
+        hit = np.flatnonzero(cosine > 0)
+        if hit.size > k:
+            hit = hit[cosine[hit] >= np.partition(cosine[hit], -k)[-k]]
+        best = hit[np.lexsort((hit, -cosine[hit]))[:k]]
+        return list(zip(cosine[best].tolist(), best.tolist()))
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         if not near:
