@@ -1,7 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-One pass over the corpus counts in how many documents every n-gram of the benchmark stands.  Each item keeps
-the rarer half of its n-grams as seeds.  A second pass joins passages to items on those seeds and aligns the
+One pass over the corpus counts in how many documents every n-gram of the benchmark stands.  Seeds are the rare
+ones: an n-gram is common if it stands in more than 1/64 of the documents and also in 16 times as many as the median
+n-gram of its item, so that an item that is copied very often keeps its seeds.  A second pass joins passages to items on those seeds and aligns the
 words around every cluster of hits with the item, so that edited and paraphrased copies score by what they share.
 Items are taken in blocks of a stated size; only a block's n-grams are sent to the executors.
 """
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
+COMMON, ABOVE = 64, 16
 HITS = "doc_id long, item_id long, score double, start long, end long"
 
 
@@ -68,13 +70,14 @@ class Block:
         found = self.grams[at] == code[pos]
         return pos[found], at[found]
 
-    def rarer_half(self, df: dict[int, int]) -> set[tuple[int, int]]:
-        """(gram index, item) pairs to seed from: of every item the half of its n-grams in the fewest documents."""
+    def rare(self, df: dict[int, int], documents: int) -> set[tuple[int, int]]:
+        """(gram index, item) pairs to seed from."""
         own = defaultdict(list)
         for g, places in enumerate(self.places):
             for item in {at for at, _ in places}:
                 own[item].append(g)
-        return {(g, item) for item, gs in own.items() for g in sorted(gs, key=lambda g: (df.get(g, 0), int(self.grams[g])))[: (len(gs) + 1) // 2]}
+        median = {item: sorted(df.get(g, 0) for g in gs)[len(gs) // 2] for item, gs in own.items()}
+        return {(g, item) for item, gs in own.items() for g in gs if df.get(g, 0) <= max(documents / COMMON, ABOVE * max(1, median[item]))}
 
 
 def align(item: np.ndarray, window: np.ndarray) -> tuple[float, int]:
@@ -123,7 +126,7 @@ def _find_block(texts: DataFrame, block: Block, min_score: float) -> DataFrame:
         yield pa.RecordBatch.from_pydict({"g": pa.array(list(df), pa.int64()), "n": pa.array(list(df.values()), pa.int64())})
 
     df = {r["g"]: r["n"] for r in texts.select("text").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()}
-    seeds = texts.sparkSession.sparkContext.broadcast(block.rarer_half(df))
+    seeds = texts.sparkSession.sparkContext.broadcast(block.rare(df, texts.count()))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b, rare = shared.value, seeds.value
@@ -140,15 +143,18 @@ def _find_block(texts: DataFrame, block: Block, min_score: float) -> DataFrame:
                     item, own = b.items[at]
                     reach = len(own) + b.n
                     cuts = [0, *(np.flatnonzero(np.diff(places) > reach) + 1).tolist(), len(places)]
-                    done = 0
                     for lo, hi in zip(cuts, cuts[1:]):
-                        first, last = max(done, places[lo] - reach), places[hi - 1] + reach
-                        window = w[first:last]
-                        best, end = align(own, window)
-                        if best >= min_score * len(own):
-                            start = end - align(own[::-1], window[:end][::-1])[1]
-                            rows.append((doc, item, best / len(own), first + start, first + end))
-                            done = first + end
+                        open_ = [(max(0, places[lo] - reach), places[hi - 1] + reach)]
+                        while open_:  # what an alignment leaves on either side may hold another copy
+                            first, last = open_.pop()
+                            if not any(first <= p < last for p in places[lo:hi]):
+                                continue
+                            window = w[first:last]
+                            best, end = align(own, window)
+                            if best >= min_score * len(own):
+                                start = end - align(own[::-1], window[:end][::-1])[1]
+                                rows.append((doc, item, best / len(own), first + start, first + end))
+                                open_ += [(first, first + start), (first + end, last)]
             columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], [x.split()[0] for x in HITS.split(", ")])
 
