@@ -35,13 +35,10 @@ class LineRuns:
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
-    def _write(self, df: DataFrame) -> DataFrame:
-        name = f"curbline_run_{uuid.uuid4().hex}"
-        (
-            df.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).format("parquet")
-            .option("path", scratch_path(self.spark, "line-run")).saveAsTable(name)
-        )
-        return self.spark.table(name)
+    def _write(self, df: DataFrame) -> tuple[DataFrame, str]:
+        name, path = f"curbline_run_{uuid.uuid4().hex}", scratch_path(self.spark, "line-run")
+        df.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).format("parquet").option("path", path).saveAsTable(name)
+        return self.spark.table(name), path
 
     def add(self, lines: DataFrame, id_col: str) -> DataFrame:
         """Merge the hashes of a batch; return (hash, owner) of the batch's keys that several documents hold."""
@@ -49,11 +46,13 @@ class LineRuns:
         for k, run in enumerate(self.runs()):
             keys = keys.join(run.withColumnRenamed("__owner", f"__o{k}"), KEY, "left")
         earlier = F.coalesce(F.lit(None).cast("long"), *[F.col(f"__o{k}") for k in range(len(self.runs()))])
-        resolved = self._write(
+        resolved, path = self._write(
             keys.select(*KEY, F.coalesce(earlier, "__first").alias("__owner"), earlier.isNull().alias("__new"), (earlier.isNotNull() | (F.col("__first") != F.col("__last"))).alias("__shared"))
         )
         self._push(resolved.filter("__new").select(*KEY, "__owner"), 0)
-        return resolved.filter("__shared").select(*KEY, "__owner")
+        # Read as plain files: the join with the batch's lines then has exchanges on both sides, and a line that a
+        # third of the documents hold is split over many tasks.
+        return self.spark.read.parquet(path).filter("__shared").select(*KEY, "__owner")
 
     def _push(self, run: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
@@ -62,7 +61,7 @@ class LineRuns:
         if len(self.levels[level]) >= self.fanout:
             merged = reduce(DataFrame.unionByName, self.levels[level])
             self.levels[level] = []
-            self._push(self._write(merged.repartition(self.buckets, *KEY)), level + 1)
+            self._push(self._write(merged.repartition(self.buckets, *KEY))[0], level + 1)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 3, fanout: int = 4) -> DataFrame:
