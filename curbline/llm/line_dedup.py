@@ -52,7 +52,7 @@ class LineRuns:
         self._push(resolved.filter("__new").select(*KEY, "__owner"), 0)
         # Read as plain files: the join with the batch's lines then has exchanges on both sides, and a line that a
         # third of the documents hold is split over many tasks.
-        return self.spark.read.parquet(path).filter("__shared").select(*KEY, "__owner")
+        return self.spark.read.schema(resolved.schema).parquet(path).filter("__shared").select(*KEY, "__owner")
 
     def _push(self, run: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
