@@ -13,6 +13,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -57,8 +58,8 @@ class Block:
         return np.where(known, code, -1)
 
     def number_words(self, text: str) -> np.ndarray:
-        get = self.number.get
-        return np.array([get(w, 0) for w in words_of(text)], np.int64)
+        found = words_of(text)
+        return np.fromiter(map(self.number.get, found, repeat(0)), np.int64, len(found))
 
     def hits(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(word position, gram index) of the block's n-grams in a text."""
