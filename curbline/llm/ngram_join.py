@@ -30,6 +30,7 @@ from .components import components
 
 HEAVY = 64
 GROUP_DOCS, GROUP_SHINGLES = 4096, 1_500_000
+SMALL, BLOCK = 32, 512
 BITS = 48  # of a shingle in the join; sets are counted with all 64
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3))
 
@@ -244,6 +245,59 @@ def _verify(percent: int):
     return run
 
 
+def block_links(left: pa.Table, right: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """A star (member, smallest) of every component that links between two blocks of (id, c, n, tokens) make."""
+    ids, cs, ns = (np.concatenate([t.column(k).to_numpy() for t in (left, right)]) for k in ("id", "c", "n"))
+    m = left.num_rows
+    na, nb = ns[:m, None], ns[None, m:]
+    open_ = (cs[:m, None] != cs[None, m:]) & (100 * na >= percent * nb) & (100 * nb >= percent * na)
+    if not open_.any():
+        return []
+    lists = [x.values.to_numpy() for t in (left, right) for x in t.column("tokens")]
+    every = np.concatenate(lists)
+    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    known, code = np.unique(every, return_inverse=True)
+    both = (np.bincount(code[row < m], minlength=known.size) > 0) & (np.bincount(code[row >= m], minlength=known.size) > 0)
+    keep = both[code]
+    row, code = row[keep], (np.cumsum(both) - 1)[code[keep]]
+    shared = np.zeros((m, len(lists) - m), np.float32)
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    for lo in range(0, int(both.sum()), 4096):  # columns in parts, so the incidence matrices stay small
+        here = slice(*np.searchsorted(code, (lo, lo + 4096)))
+        part = np.zeros((len(lists), 4096), np.float32)
+        part[row[here], code[here] - lo] = 1
+        shared += part[:m] @ part[m:].T
+    link = open_ & (shared >= needed(na, nb, percent))
+    best, far = ids.copy(), np.iinfo(np.int64).max
+    while True:
+        a = np.minimum(best[:m], np.where(link, best[None, m:], far).min(axis=1))
+        b = np.minimum(best[m:], np.where(link, a[:, None], far).min(axis=0))
+        new = np.concatenate((a, b))
+        if (new == best).all():
+            return [(int(i), int(j)) for i, j in zip(ids, best) if i != j]
+        best = new
+
+
+def _blocks(percent: int):
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        links = block_links(left, right, percent) if left.num_rows and right.num_rows else []
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return run
+
+
+def _in_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links within the groups (token, size) of rows; every unordered pair of a group's blocks is one task's work."""
+    full = rows.withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    full = full.select("token", "parts", "part", "id", "c").join(sets.select("id", "n", "tokens"), "id")
+    behind, before = F.explode(F.sequence(F.col("part"), F.col("parts") - 1)), F.explode(F.sequence(F.lit(0), F.col("part")))
+    left = full.select("token", F.col("part").alias("i"), behind.alias("j"), "id", "c", "n", "tokens")
+    right = full.select("token", before.alias("i"), F.col("part").alias("j"), "id", "c", "n", "tokens")
+    right = right.toDF(*right.columns)  # columns of their own, as both sides come from one table
+    return left.groupBy("token", "i", "j").cogroup(right.groupBy("token", "i", "j")).applyInArrow(_blocks(percent), "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
@@ -303,10 +357,14 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             lead = prefix.groupBy("token").agg(F.min_by(F.struct("id", "c", "n", "p"), F.xxhash64(F.lit(step), "id")).alias("l"))
             b = lead.select("token", *[F.col(f"l.{x}").alias(y) for x, y in (("id", "b"), ("c", "cb"), ("n", "nb"), ("p", "pb"))])
             pairs = a.join(b, "token").filter("a <> b and ca <> cb")
+            found = stage(_verified(_plausible(pairs, percent), sets_of, percent), "links")
         else:
-            b = prefix.select("token", *[F.col(x).alias(y) for x, y in (("id", "b"), ("c", "cb"), ("n", "nb"), ("p", "pb"))])
+            size = stage(prefix.groupBy("token").agg(F.count("*").alias("size")), "group-sizes")
+            few = size.filter(F.col("size") <= SMALL).select("token")
+            b = prefix.join(few, "token", "left_semi").select("token", *[F.col(x).alias(y) for x, y in (("id", "b"), ("c", "cb"), ("n", "nb"), ("p", "pb"))])
             pairs = a.join(b, "token").filter("a < b and ca <> cb")
-        found = stage(_verified(_plausible(pairs, percent), sets_of, percent), "links")
+            large = prefix.join(size.filter(F.col("size") > SMALL), "token")
+            found = stage(_verified(_plausible(pairs, percent), sets_of, percent).unionByName(_in_blocks(large, sets_of, percent)), "links")
         links = links.unionByName(found)
         classes = stage(components(links), "classes")
         prefix = prefix.drop("c").join(classes.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
