@@ -222,7 +222,7 @@ def _strings(length: int):
     return run
 
 
-def find_repeats(texts: DataFrame, length: int, max_pieces: int = 2048) -> DataFrame:
+def find_repeats(texts: DataFrame, length: int, max_pieces: int = 8192) -> DataFrame:
     """(id, tag, lo, hi): covered byte spans, possibly overlapping, of rows (id, tag, text)."""
     if length % BLOCK or length < 2 * GRAM + 2 * BLOCK:
         raise ValueError(f"length must be a multiple of {BLOCK} and at least {2 * GRAM + 2 * BLOCK}")
