@@ -26,7 +26,7 @@ def median_of(values: Column) -> Column:
 def neighbourhood(df: DataFrame, window: int, carry: tuple[str, ...], slab: int = SLAB) -> DataFrame:
     """Add ``__near``: array<struct> of the ``carry`` columns of all neighbours (empty for rows judged alone)."""
     placed = F.col("collection").isNotNull() & (F.col("collection").cast("string") != "") & F.col("rank").isNotNull()
-    df = df.withColumn("__uid", F.struct(F.monotonically_increasing_id().alias("a"))["a"])
+    df = df.withColumn("__uid", F.monotonically_increasing_id())
     own = F.floor(F.col("rank") / slab).cast("long")
     # Rows near a slab's edge are repeated there as guests.
     slabs = F.sequence(F.floor((F.col("rank") - window) / slab), F.floor((F.col("rank") + window) / slab))
