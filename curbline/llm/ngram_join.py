@@ -365,8 +365,8 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             pairs = a.join(b, "token").filter("a < b and ca <> cb")
             large = prefix.join(size.filter(F.col("size") > SMALL), "token")
             found = stage(_verified(_plausible(pairs, percent), sets_of, percent).unionByName(_in_blocks(large, sets_of, percent)), "links")
-        links = links.unionByName(found)
-        classes = stage(components(links), "classes")
+        classes = stage(components(links.unionByName(found)), "classes")
+        links = classes.select(F.col("id").alias("a"), F.col("component").alias("b"))  # all that earlier links say
         prefix = prefix.drop("c").join(classes.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
     out = known.join(reps, ["f1", "f2"], "left")
     out = out.join(classes.select(F.col("id").alias("rep"), "component"), "rep", "left") if classes is not None else out.withColumn("component", F.lit(None).cast("long"))
