@@ -3,8 +3,10 @@
 Equal vectors of a label are one node.  Neighbour lists start from rows that stand together when sorted by random
 sign patterns.  Every round joins neighbours of neighbours: around each node, its neighbours and those
 that list it are compared with one another, and better edges enter the lists.  A node whose list is full of
-links ("saturated") has its list enlarged to all of its class, which is compared in blocks, so link counts are
-whole.  An audit compares a fixed number of nodes with all others; rounds go on until its recall suffices.
+links ("saturated") may have more of them: saturated nodes are covered by balls, and all balls of a label that
+are near enough to link are compared, which joins the classes that full lists keep apart.  Every class is then
+compared in blocks, so link counts are whole.  An audit compares a fixed number of nodes with all others; rounds
+go on until its recall suffices.
 """
 
 from __future__ import annotations
@@ -121,6 +123,87 @@ def _counted(threshold: float):
     return run
 
 
+def _covered(threshold: float):
+    """Balls around members of one part of a class: the first member left takes all left that link to it."""
+
+    def run(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+        part = part.sort_by("id")
+        m, ids = _matrix(part.column("vec").combine_chunks()), part.column("id").to_numpy()
+        ball, cosine = np.full(len(ids), -1), np.ones(len(ids))
+        while (left := np.flatnonzero(ball < 0)).size:
+            s = m[left] @ m[left[0]]
+            s[0] = 1.0
+            ball[left[s >= threshold]], cosine[left[s >= threshold]] = left[0], s[s >= threshold]
+        least = np.ones(len(ids))
+        np.minimum.at(least, ball, cosine)
+        radius = np.arccos(np.clip(least, -1.0, 1.0))
+        return pa.table({"g": part.column("g"), "component": part.column("component"), "id": part.column("id"), "ball": pa.array(ids[ball]), "radius": pa.array(radius[ball]), "vec": part.column("vec")})
+
+    return run
+
+
+def _near_balls(threshold: float):
+    """Pairs of balls of two blocks that belong to different classes and are near enough to hold a link."""
+    reach = float(np.arccos(threshold)) + 1e-6
+
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        u = v = np.zeros(0, np.int64)
+        s = np.zeros(0)
+        if left.num_rows and right.num_rows:
+            a, b = (_matrix(t.column("vec").combine_chunks()) for t in (left, right))
+            cosine = np.clip(a @ b.T, -1.0, 1.0)
+            near = np.arccos(cosine) <= left.column("radius").to_numpy()[:, None] + right.column("radius").to_numpy()[None, :] + reach
+            x, y = np.nonzero(near & (left.column("component").to_numpy()[:, None] != right.column("component").to_numpy()[None, :]))
+            u, v, s = left.column("id").to_numpy()[x], right.column("id").to_numpy()[y], cosine[x, y]
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "s": pa.array(s, pa.float64())})
+
+    return run
+
+
+def _closest(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+    """The best edge between the members of two balls."""
+    if not left.num_rows or not right.num_rows:
+        return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64()), "s": pa.array([], pa.float64())})
+    a, b = (_matrix(t.column("vec").combine_chunks()) for t in (left, right))
+    s = a @ b.T
+    x, y = np.unravel_index(s.argmax(), s.shape)
+    return pa.table({"u": left.column("id").take([x]), "v": right.column("id").take([y]), "s": pa.array([float(s[x, y])])})
+
+
+def _paired(rows: DataFrame, by: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of equal ``by``, dealt in blocks i <= j that all meet: the left rows and the right rows of every pair."""
+    size = rows.groupBy(by).agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    dealt = stage(rows.join(size, by).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")), "dealt")
+    left = dealt.select(*rows.columns, F.col("part").alias("i"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("j"))
+    right = dealt.select(*(F.col(c).alias(c) for c in rows.columns), F.explode(F.sequence(F.lit(0), F.col("part"))).alias("i"), F.col("part").alias("j"))
+    return left, right
+
+
+def bridges(nodes: DataFrame, edges: DataFrame, classes: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Links (u, v, s) that join classes which full lists keep apart.
+
+    A node whose list ends below the threshold holds all its links, so only links between two nodes whose
+    lists are full of links can be missing.  Angles obey the triangle inequality: two balls hold a link only
+    if their centres are no further apart than both radii and the threshold's angle.
+    """
+    full = edges.groupBy("u").agg(F.min("s").alias("least")).filter(F.col("least") >= threshold).select(F.col("u").alias("id"))
+    member = full.join(classes, "id").join(nodes.select("id", "g", "vec"), "id")
+    size = member.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    member = member.join(size, "component").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    schema = "g string, component long, id long, ball long, radius double, vec array<float>"
+    balls = stage(member.select("g", "component", "part", "id", "vec").groupBy("component", "part").applyInArrow(_covered(threshold), schema), "balls")
+    centre = balls.filter("id = ball").select("g", "component", "id", "radius", "vec")
+    left, right = _paired(centre, "g", block)
+    keys = ["g", "i", "j"]
+    near = stage(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_near_balls(threshold), EDGES).filter("u <> v"), "near-balls")
+    # Centres that link need no look at their members.
+    pair = near.filter(F.col("s") < threshold).select("u", "v")
+    a = stage(pair.join(balls.select(F.col("ball").alias("u"), "id", "vec"), "u"), "ball-members")
+    b = pair.join(balls.select(F.col("ball").alias("v"), "id", "vec"), "v")
+    found = a.groupBy("u", "v").cogroup(b.groupBy("u", "v")).applyInArrow(_closest, EDGES)
+    return near.unionByName(found).filter(F.col("s") >= threshold)
+
+
 def neighbour_graph(nodes: DataFrame, k: int = 8, tables: int = 4, bits: int = 14, width: int = 4, rounds: int = 2, seed: int = 5, threshold: float = 0.98, audit_nodes: int = 256, min_recall: float = 0.95, more_rounds: int = 3) -> DataFrame:
     """Edges (u, v, s) of the refined lists of nodes (id, g, copies, vec); compared are nodes of one group g only."""
     signed = nodes.mapInArrow(_signed(tables, bits, seed), "id long, g string, t int, sign long, x double, vec array<float>")
@@ -186,7 +269,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     known = rows.filter("sound").select("id", "g", "vec", *key)
     nodes = stage(known.groupBy("g", "h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min_by("vec", "id").alias("vec")), "vectors")
     edges = neighbour_graph(nodes.select("id", "g", "copies", "vec"), threshold=threshold, **graph)
-    classes = stage(components(edges.filter(F.col("s") >= threshold), "u", "v"), "vector-classes")
+    edges = stage(edges, "vector-edges")
+    node = nodes.select("id", "g", "vec")
+    found = components(edges.filter(F.col("s") >= threshold), "u", "v")
+    more = bridges(node, edges, found, threshold, block)
+    classes = stage(components(edges.filter(F.col("s") >= threshold).unionByName(more), "u", "v"), "vector-classes")
 
     # Whole lists: every class is cut in blocks of its ids' order, and each block meets all blocks of its class.
     size = classes.groupBy("component").agg(F.count("*").alias("size"))

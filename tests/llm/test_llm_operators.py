@@ -190,6 +190,31 @@ def test_embedding_dedup(spark):
     assert {x["vec_id"]: (x["n_links"], x["component_id"], x["kept"]) for x in got} == expected
 
 
+def plain_vector_links(rows):
+    m = np.array([v for _, v, _ in rows])
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    label = np.array([x for *_, x in rows])
+    link = (m @ m.T >= 0.98) & (label[:, None] == label[None]) & ~np.eye(len(rows), dtype=bool)
+    component = classes(range(len(rows)), zip(*(x.tolist() for x in np.nonzero(link))))
+    return {i: (int(link[i].sum()), component[i], component[i] == i) for i in range(len(rows))}
+
+
+def test_embedding_dedup_joins_dense_groups(spark):
+    """Groups of more near copies than a list holds, which link with each other too."""
+    r = np.random.default_rng(1)
+    rows = []
+    for label, size in ((0, 12), (1, 40)):
+        centre, other = np.linalg.qr(r.normal(size=(64, 2)))[0].T
+        for angle in (0.0, np.arccos(0.985), 1.2):
+            middle = np.cos(angle) * centre + np.sin(angle) * other
+            for _ in range(size):
+                rows.append((len(rows), [float(np.float32(x)) for x in middle + r.normal(size=64) * 0.003], label))
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), block=16).collect()
+    expected = plain_vector_links(rows)
+    assert len({c for _, c, _ in expected.values()}) == 4
+    assert {x["vec_id"]: (x["n_links"], x["component_id"], x["kept"]) for x in got} == expected
+
+
 def test_components(spark):
     r = random.Random(9)
     links = [(r.randint(0, 200), r.randint(0, 200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)] + [(5, 5), (None, 3)]
