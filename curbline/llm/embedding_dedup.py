@@ -6,7 +6,8 @@ that list it are compared with one another, and better edges enter the lists.  A
 links ("saturated") may have more of them: saturated nodes are covered by balls, and all balls of a label that
 are near enough to link are compared, which joins the classes that full lists keep apart.  Every class is then
 compared in blocks, so link counts are whole.  An audit compares a fixed number of nodes with all others; rounds
-go on until its recall suffices.
+go on until its recall suffices.  It is repeated on the final link counts, and a label that falls short there is
+compared whole.
 """
 
 from __future__ import annotations
@@ -227,14 +228,16 @@ def neighbour_graph(nodes: DataFrame, k: int = 8, tables: int = 4, bits: int = 1
     return graph.select("u", F.explode("near").alias("e")).select("u", F.col("e.v").alias("v"), F.col("e.sim").alias("s"))
 
 
-def recall(nodes: DataFrame, graph: DataFrame, threshold: float, audit_nodes: int, k: int) -> float:
-    """Share of the links of ``audit_nodes`` nodes that their lists hold, as far as the lists reach; 1 without links."""
+def _true_links(nodes: DataFrame, threshold: float, audit_nodes: int) -> DataFrame:
+    """(u, g, n, copies): the links of ``audit_nodes`` nodes with all others, by nodes and by rows; audited nodes without one have zeros."""
+    weight = F.col("copies") if "copies" in nodes.columns else F.lit(1)
+    nodes = nodes.select("id", "g", "vec", weight.cast("long").alias("copies"))
     sample = nodes.orderBy(F.xxhash64("id"), "id").limit(audit_nodes).select("id", "g", "vec").collect()
     shared = nodes.sparkSession.sparkContext.broadcast([(r["id"], r["g"], np.array(r["vec"], np.float64)) for r in sample])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            g, ids = np.array(batch.column("g").to_pylist(), object), batch.column("id").to_numpy()
+            g, ids, copies = np.array(batch.column("g").to_pylist(), object), batch.column("id").to_numpy(), batch.column("copies").to_numpy()
             for group in {q[1] for q in shared.value}:
                 here = np.flatnonzero(g == group)
                 if not here.size:
@@ -244,15 +247,80 @@ def recall(nodes: DataFrame, graph: DataFrame, threshold: float, audit_nodes: in
                     if own == group:
                         s = m @ (v / np.linalg.norm(v))
                         hit = (s >= threshold) & (ids[here] != i)
-                        yield _edges(np.full(hit.sum(), i), ids[here][hit], s[hit])
+                        yield pa.RecordBatch.from_pydict({"u": pa.array([i], pa.int64()), "g": [group], "n": pa.array([hit.sum()], pa.int64()), "copies": pa.array([copies[here][hit].sum()], pa.int64())})
+
+    return nodes.mapInArrow(exact, "u long, g string, n long, copies long").groupBy("u", "g").agg(F.sum("n").alias("n"), F.sum("copies").alias("copies"))
+
+
+def recall(nodes: DataFrame, graph: DataFrame, threshold: float, audit_nodes: int, k: int) -> float:
+    """Share of the links of ``audit_nodes`` nodes that their lists hold, as far as the lists reach; 1 without links.
 
-    true = nodes.select("id", "g", "vec").mapInArrow(exact, EDGES).groupBy("u").agg(F.count("*").alias("n"))
+    This ends the rounds only: what lists cannot hold is audited in the result by ``missed_groups``.
+    """
     found = graph.select("u", F.size(F.filter("near", lambda e: e["sim"] >= threshold)).alias("f"))
+    true = _true_links(nodes, threshold, audit_nodes)
     got = true.join(found, "u", "left").agg(F.sum(F.least(F.col("n"), F.lit(k))), F.sum(F.least(F.coalesce("f", F.lit(0)), F.least(F.col("n"), F.lit(k))))).first()
     return 1.0 if not got[0] else got[1] / got[0]
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, block: int = 1024, **graph) -> DataFrame:
+def missed_groups(nodes: DataFrame, links: DataFrame, threshold: float, audit_nodes: int, min_recall: float) -> DataFrame:
+    """The groups (g) whose final link counts (id, links) fall short of ``min_recall`` of all links of the audited nodes.
+
+    A group without an audited link goes with the share of all groups together.
+    """
+    true = _true_links(nodes, threshold, audit_nodes).join(links.withColumnRenamed("id", "u"), "u", "left")
+    by_group = stage(true.groupBy("g").agg(F.sum("copies").alias("n"), F.sum(F.coalesce("links", F.lit(0))).alias("f")), "audit")
+    n, f = by_group.agg(F.sum("n"), F.sum("f")).first()
+    if not n:
+        return by_group.filter("false").select("g")
+    short = F.when(F.col("n") > 0, F.col("f") < F.col("n") * min_recall).otherwise(F.lit(f < n * min_recall))
+    groups = nodes.select("g").distinct().join(by_group, "g", "left")
+    return stage(groups.filter(short).select("g"), "missed")
+
+
+def _joined(threshold: float):
+    """For two blocks of a group, the links of their rows as one star to each component's first member."""
+
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        u = v = np.zeros(0, np.int64)
+        if left.num_rows and right.num_rows:
+            a, b = (_matrix(t.column("vec").combine_chunks()) for t in (left, right))
+            own, other = left.column("id").to_numpy(), right.column("id").to_numpy()
+            s = (a @ b.T >= threshold) & (own[:, None] != other[None, :])
+            x, y = own.copy(), other.copy()
+            far = np.iinfo(np.int64).max
+            while True:
+                p = np.minimum(x, np.where(s, y[None, :], far).min(axis=1))
+                q = np.minimum(y, np.where(s, p[:, None], far).min(axis=0))
+                if (p == x).all() and (q == y).all():
+                    break
+                x, y = p, q
+            u, v = np.concatenate([own, other]), np.concatenate([x, y])
+        return pa.table({"u": pa.array(u[u != v], pa.int64()), "v": pa.array(v[u != v], pa.int64()), "s": pa.array(np.ones((u != v).sum()))})
+
+    return run
+
+
+def exact_stars(nodes: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(u, v, s) that connect what links connect, every node of a group being compared with all others of it."""
+    left, right = _paired(nodes, "g", block)
+    keys = ["g", "i", "j"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_joined(threshold), EDGES)
+
+
+def class_links(nodes: DataFrame, classes: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(id, links) within whole classes: each is cut in blocks, and each block meets all blocks of its class."""
+    size = classes.groupBy("component").agg(F.count("*").alias("size"))
+    member = classes.join(size, "component").join(nodes.select("id", "copies", "vec"), "id").withColumn("parts", F.ceil(F.col("size") / block).cast("int"))
+    member = stage(member.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")), "class-members")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    left = member.select("component", F.col("part").alias("i"), other.alias("j"), "id", "vec")
+    right = member.select("component", other.alias("i"), F.col("part").alias("j"), "id", "copies", "vec")
+    counts = left.groupBy("component", "i", "j").cogroup(right.groupBy("component", "i", "j")).applyInArrow(_counted(threshold), "id long, links long")
+    return stage(counts.groupBy("id").agg(F.sum("links").alias("links")), "class-links")
+
+
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, block: int = 1024, audit_nodes: int = 256, min_recall: float = 0.95, **graph) -> DataFrame:
     """(id_col, n_links, component_id, kept) of every row.
 
     Rows of one non-null label and of equal dimension link when their cosine in double precision reaches ``threshold``.
@@ -268,22 +336,19 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     key = [F.xxhash64("g", "vec").alias("h1"), F.hash("vec", "g").alias("h2")]
     known = rows.filter("sound").select("id", "g", "vec", *key)
     nodes = stage(known.groupBy("g", "h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min_by("vec", "id").alias("vec")), "vectors")
-    edges = neighbour_graph(nodes.select("id", "g", "copies", "vec"), threshold=threshold, **graph)
+    edges = neighbour_graph(nodes.select("id", "g", "copies", "vec"), threshold=threshold, audit_nodes=audit_nodes, min_recall=min_recall, **graph)
     edges = stage(edges, "vector-edges")
     node = nodes.select("id", "g", "vec")
     found = components(edges.filter(F.col("s") >= threshold), "u", "v")
     more = bridges(node, edges, found, threshold, block)
     classes = stage(components(edges.filter(F.col("s") >= threshold).unionByName(more), "u", "v"), "vector-classes")
 
-    # Whole lists: every class is cut in blocks of its ids' order, and each block meets all blocks of its class.
-    size = classes.groupBy("component").agg(F.count("*").alias("size"))
-    member = classes.join(size, "component").join(nodes.select("id", "copies", "vec"), "id").withColumn("parts", F.ceil(F.col("size") / block).cast("int"))
-    member = stage(member.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")), "class-members")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    left = member.select("component", F.col("part").alias("i"), other.alias("j"), "id", "vec")
-    right = member.select("component", other.alias("i"), F.col("part").alias("j"), "id", "copies", "vec")
-    counts = left.groupBy("component", "i", "j").cogroup(right.groupBy("component", "i", "j")).applyInArrow(_counted(threshold), "id long, links long")
-    links = counts.groupBy("id").agg(F.sum("links").alias("links"))
+    links = class_links(nodes, classes, threshold, block)
+    missed = missed_groups(nodes, links, threshold, audit_nodes, min_recall)
+    if not missed.isEmpty():  # their labels are compared whole
+        stars = stage(exact_stars(node.join(missed, "g"), threshold, block), "stars")
+        classes = stage(components(classes.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(stars.select("u", "v")), "u", "v"), "vector-classes")
+        links = class_links(nodes, classes, threshold, block)
     per_node = stage(nodes.select("g", "h1", "h2", F.col("id").alias("node"), "copies").join(links.withColumnRenamed("id", "node"), "node", "left").join(classes.withColumnRenamed("id", "node"), "node", "left"), "vector-links")
     found = known.drop("vec").join(per_node, ["g", "h1", "h2"])
     found = found.select("id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("component", "node").alias("component_id"))

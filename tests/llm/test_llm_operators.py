@@ -215,6 +215,15 @@ def test_embedding_dedup_joins_dense_groups(spark):
     assert {x["vec_id"]: (x["n_links"], x["component_id"], x["kept"]) for x in got} == expected
 
 
+def test_embedding_dedup_compares_labels_that_the_audit_finds_short(spark):
+    r = np.random.default_rng(2)
+    base = r.normal(size=(40, 16))
+    rows = [(i, [float(np.float32(x)) for x in base[i % 40] + r.normal(size=16) * 0.02], i % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = embedding_dedup.near_duplicates(df, block=16, tables=1, width=1, rounds=0, more_rounds=0).collect()
+    assert {x["vec_id"]: (x["n_links"], x["component_id"], x["kept"]) for x in got} == plain_vector_links(rows)
+
+
 def test_components(spark):
     r = random.Random(9)
     links = [(r.randint(0, 200), r.randint(0, 200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)] + [(5, 5), (None, 3)]
