@@ -40,9 +40,35 @@ def _mixed(s: str) -> bool:
     return any(c.isdigit() for c in s) and any(c.isalpha() for c in s) or any(c.isupper() for c in s[1:]) and any(c.islower() for c in s)
 
 
+def _others(text: str, start: int, end: int, lo: int, hi: int) -> tuple[str, str]:
+    """text[lo:start] and text[end:hi], both without what stands there again of text[start:end].
+
+    Also a part of it without a name and = before it, or a run of 16 or more letters and digits, counts as a repeat.
+    """
+    own = text[start:end]
+    parts = {own, own.strip("=_-/"), own.partition("=")[2].strip("="), *re.findall(r"[A-Za-z0-9]{16,}", own)}
+    sides = [(lo, start), (end, hi)]
+    out = [list(text[a:b]) for a, b in sides]
+    for part in parts:
+        if len(part) < 16:
+            continue
+        for (a, b), chars in zip(sides, out):
+            # Repeats may reach over either end of the side.
+            at = text.find(part, max(0, a - len(part) + 1), b + len(part))
+            while 0 <= at < b:
+                if at + len(part) > a:
+                    x, y = max(at, a) - a, min(at + len(part), b) - a
+                    chars[x:y] = [""] * (y - x)
+                at = text.find(part, at + 1, b + len(part))
+    return "".join(out[0]), "".join(out[1])
+
+
 def novelty(text: str, start: int, end: int, around: int = 2048) -> float:
-    """Marginal compressed bytes of text[start:end] behind its surroundings, as a share of its length."""
-    before, after = text[max(0, start - around) : start], text[end : end + around]
+    """Marginal compressed bytes of text[start:end] behind its surroundings, as a share of its length.
+
+    Its own repeats are no surroundings: a secret that stands twice is novel both times.
+    """
+    before, after = _others(text, start, end, max(0, start - around), min(len(text), end + around))
     code = before.encode("utf-8", "surrogatepass") + b"\n" + after.encode("utf-8", "surrogatepass")
     primed = zstandard.ZstdCompressionDict(IDENTIFIERS.encode() + code, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     z = zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_checksum=False)

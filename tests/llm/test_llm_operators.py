@@ -385,6 +385,15 @@ def test_novelty_finds_what_patterns_miss():
     assert [(k, text[a:b]) for k, a, b, _ in found] == [("novel", "Zk9qT2vXw8LrB4yHc7NsPd3GmJ5")]
 
 
+def test_novelty_of_a_repeated_secret():
+    secret = "Zk9qT2vXw8LrB4yHc7NsPd3GmJ5fKa"
+    text = f"Authorization: Bearer {secret}\n\nFor example:\n curl -H 'Authorization: Bearer {secret}' https://example.com/?auth={secret}\n" + "bearer " + "session_manager_" * 3
+    found = [text[a:b] for k, a, b, _ in secrets.find_spans(text) if k == "novel"]
+    assert found[:2] == [secret, secret]
+    at = text.index("auth=")
+    assert secrets.novelty(text, at, at + 5 + len(secret)) >= 0.85
+
+
 # --- language
 
 
