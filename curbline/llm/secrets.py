@@ -1,6 +1,7 @@
 """Secret scans: three base patterns, and dictionary-primed zstandard novelty for what they miss.
 
-A candidate is a long mixed string next to a sensitive word.  It is compressed behind its surrounding
+A candidate is a string of 16 or more characters with a sensitive word near it or on its line, or in a run of
+such strings (the lines of a key) that has one.  It is compressed behind its surrounding
 code, with a dictionary of common identifiers and that code; what it adds to the compressed size is its novelty.
 Identifiers, words and repeats cost a few bytes there, random material costs about its length.
 """
@@ -22,6 +23,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # runs are maximal, so this is "runs of [0-9a-f]+, those of 16 or more"
 SENSITIVE = re.compile(r"pass|pwd|secret|token|key|auth|bearer|credential|private|signature|session|cookie|salt", re.I | re.A)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+BEGIN = re.compile(r"-----BEGIN ([^\n-]{0,80})-----", re.A)
+#: What may stand between two strings of a run: line ends (also escaped), quotes, signs and blanks.
+GAP = re.compile(r"(?:\\[nrt]|[^A-Za-z0-9]){0,24}", re.A)
 #: Words that code is made of.
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key private_key public_key client_id client_secret username user_name "
@@ -36,10 +40,6 @@ IDENTIFIERS = (
 SPANS = "array<struct<kind:string,start:int,end:int,novelty:double>>"
 
 
-def _mixed(s: str) -> bool:
-    return any(c.isdigit() for c in s) and any(c.isalpha() for c in s) or any(c.isupper() for c in s[1:]) and any(c.islower() for c in s)
-
-
 def _others(text: str, start: int, end: int, lo: int, hi: int) -> tuple[str, str]:
     """text[lo:start] and text[end:hi], both without what stands there again of text[start:end].
 
@@ -77,16 +77,51 @@ def novelty(text: str, start: int, end: int, around: int = 2048) -> float:
     return (len(z.compress(lead + own)) - len(z.compress(lead))) / len(own)
 
 
+def _sensitive(text: str, context: int) -> list[tuple[int, int]]:
+    """Candidates with a sensitive word within ``context`` characters on either side, on their line, or as their
+    own name before an =; those between BEGIN and END of something sensitive; and those in a run with such a one."""
+    marks = [m.span() for m in SENSITIVE.finditer(text)]
+    if not marks:
+        return []
+    starts = [a for a, _ in marks]
+    blocks, last = [], 0
+    for m in BEGIN.finditer(text):
+        if m.end() > last and SENSITIVE.search(m[1]):
+            last = text.find("-----END", m.end())
+            last = len(text) if last < 0 else last
+            blocks.append((m.end(), last))
+    opens = [a for a, _ in blocks]
+
+    def near(a: int, b: int) -> bool:
+        lo = min(a - context, text.rfind("\n", 0, a) + 1)
+        end = text.find("\n", b)
+        hi = max(b + context, len(text) if end < 0 else end)
+        i, j, k = bisect_left(starts, lo), bisect_left(starts, b), bisect_left(opens, b) - 1
+        if i < len(marks) and marks[i][1] <= a or j < len(marks) and marks[j][1] <= hi or k >= 0 and blocks[k][0] <= a and b <= blocks[k][1]:
+            return True
+        name = text.find("=", a, b)
+        i = bisect_left(starts, a)
+        return name >= 0 and i < len(marks) and marks[i][1] <= name and b - name > 8
+
+    found: list[tuple[int, int]] = []
+    run: list[tuple[int, int]] = []
+    wanted = False
+    for m in CANDIDATE.finditer(text):
+        if run and not GAP.fullmatch(text, run[-1][1], m.start()):
+            found += run if wanted else []
+            run, wanted = [], False
+        run.append(m.span())
+        wanted = wanted or near(*m.span())
+    return found + (run if wanted else [])
+
+
 def find_spans(text: str, min_novelty: float = 0.85, context: int = 48) -> list[tuple[str, int, int, float | None]]:
     """All spans by start, then kind: base spans whole, novelty spans where no base span overlaps."""
     found = [("assign", *m.span(), None) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     found += [("access", *m.span(), None) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [("hex", *m.span(), None) for m in HEX.finditer(text)]
     taken = sorted((a, b) for _, a, b, _ in found)
-    for m in CANDIDATE.finditer(text) if SENSITIVE.search(text) else ():
-        a, b = m.span()
-        if not _mixed(m[0]) or not SENSITIVE.search(text, max(0, a - context), a):
-            continue
+    for a, b in _sensitive(text, context):
         i = bisect_left(taken, (b, -1))
         if any(y > a for _, y in taken[max(0, i - 3) : i]):
             continue
