@@ -2,7 +2,9 @@
 
 One pass over the corpus counts in how many documents every n-gram of the benchmark stands.  Seeds are the rare
 ones: an n-gram is common if it stands in more than 1/64 of the documents and also in 16 times as many as the median
-n-gram of its item, so that an item that is copied very often keeps its seeds.  A second pass joins passages to items on those seeds and aligns the
+n-gram of its item, so that an item that is copied very often keeps its seeds.  Heavily edited copies keep no
+n-gram; they are seeded by the number of neighbouring item words that stand together in the text, or with one word
+between, of which an alignment that suffices has a least number.  A second pass joins passages to items on those seeds and aligns the
 words around every cluster of hits with the item, so that edited and paraphrased copies score by what they share.
 Items are taken in blocks of a stated size; only a block's n-grams are sent to the executors.
 """
@@ -45,6 +47,17 @@ class Block:
                 places[code].append((at, pos))
         self.grams = np.array(sorted(places), np.int64)
         self.places = [places[g] for g in self.grams.tolist()]
+        self.sizes = np.array([len(w) for _, w in self.items], np.int64)
+        # Pairs of neighbouring item words by code, each with its (item, position)s in a row.
+        self.stride = max((len(w) for _, w in self.items), default=0) + 1
+        code = np.concatenate([w[:-1] * self.base + w[1:] for _, w in self.items] or [np.zeros(0, np.int64)])
+        spot = np.concatenate([at * self.stride + np.arange(len(w) - 1) for at, (_, w) in enumerate(self.items)] or [np.zeros(0, np.int64)])
+        order = np.argsort(code, kind="stable")
+        self.spots = spot[order]
+        self.pairs, first = np.unique(code[order], return_index=True)
+        self.cuts = np.append(first, len(code))
+        self.maybe = np.zeros(1 << 17, bool)  # spares most searches: pairs by the low bits of their codes
+        self.maybe[self.pairs & (len(self.maybe) - 1)] = True
 
     def codes(self, w: np.ndarray) -> np.ndarray:
         """Number of the n-gram at each word; -1 where a word is in no item."""
@@ -71,6 +84,50 @@ class Block:
         found = self.grams[at] == code[pos]
         return pos[found], at[found]
 
+    def edited(self, w: np.ndarray, min_score: float) -> dict[int, list[int]]:
+        """Word positions of the pairs of items of which enough stand close together, by item.
+
+        Of an item's L - 1 pairs, each that is not seen costs an alignment a missing or substituted word, which two
+        pairs may share, or two additional words.  With s pairs seen the score is at most L / 4 + 3 / 4 + 3 s / 4, and its words
+        reach over at most twice the item's length in the text.
+        """
+        if not self.pairs.size:
+            return {}
+        pos, spot = [], []
+        known = np.flatnonzero(w)
+        for step in (1, 2):
+            at = known[: np.searchsorted(known, len(w) - step)]
+            b = w[at + step]
+            at, b = at[b > 0], b[b > 0]
+            code = w[at] * self.base + b
+            likely = self.maybe[code & (len(self.maybe) - 1)]
+            at, code = at[likely], code[likely]
+            if not len(at):
+                continue
+            k = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+            hit = self.pairs[k] == code
+            at, k = at[hit], k[hit]
+            n = self.cuts[k + 1] - self.cuts[k]
+            pos.append(np.repeat(at, n))
+            spot.append(self.spots[np.repeat(self.cuts[k + 1] - np.cumsum(n), n) + np.arange(n.sum())])
+        if not pos:
+            return {}
+        pos, spot = np.concatenate(pos), np.concatenate(spot)
+        item = spot // self.stride
+        need = np.maximum(1, np.ceil(((min_score - 0.25) * self.sizes - 0.75) / 0.75 - 1e-9))
+        out = {}
+        if len(item) < need.min():
+            return out
+        for x in np.flatnonzero(np.bincount(item, minlength=len(need)) >= need).tolist():
+            if len(np.unique(spot[item == x])) < need[x]:
+                continue
+            own = np.sort(pos[item == x])
+            reach = 2 * self.sizes[x]
+            close = np.searchsorted(own, own + reach, "right") - np.searchsorted(own, own - reach) >= need[x]
+            if close.any():
+                out[x] = np.unique(own[close]).tolist()
+        return out
+
     def rare(self, df: dict[int, int], documents: int) -> set[tuple[int, int]]:
         """(gram index, item) pairs to seed from."""
         own = defaultdict(list)
@@ -140,9 +197,11 @@ def _find_block(texts: DataFrame, block: Block, min_score: float) -> DataFrame:
                     for item in {at for at, _ in b.places[g]}:
                         if (g, item) in rare:
                             by_item[item].append(pos)
-                for at, places in by_item.items():
+                edited = b.edited(w, min_score)
+                for at in by_item.keys() | edited.keys():
                     item, own = b.items[at]
-                    reach = len(own) + b.n
+                    places = sorted({*by_item.get(at, ()), *edited.get(at, ())})
+                    reach = 2 * len(own) if at in edited else len(own) + b.n
                     cuts = [0, *(np.flatnonzero(np.diff(places) > reach) + 1).tolist(), len(places)]
                     for lo, hi in zip(cuts, cuts[1:]):
                         open_ = [(max(0, places[lo] - reach), places[hi - 1] + reach)]

@@ -131,6 +131,19 @@ def test_decontamination(spark):
     assert (span["start"], span["end"], span["score"]) == (40, 70, 1.0)
 
 
+def test_decontamination_finds_copies_without_three_words_in_a_row(spark):
+    r = random.Random(12)
+    items = [(i, words(r, 30, "abcdefghijklmnopqrst")) for i in range(12)]
+    own = [t.split() for _, t in items]
+    two = " ".join(x + (" added" if k % 2 else "") for k, x in enumerate(own[2]))
+    third = " ".join("changed" if k % 3 == 2 else x for k, x in enumerate(own[4]))
+    every = " ".join(x + " added" for x in own[6])
+    texts = [words(r, 60) + f" {t} " + words(r, 60) for t in (two, third, every)] + [words(r, 300, "abcdefghijklmnopqrst"), " ".join(own[8][:9])]
+    hits = decontaminate.find(docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(h["doc_id"], h["item_id"]): h["score"] for h in hits.collect()}
+    assert got == {(1, 2): pytest.approx(1 - 14 * 0.5 / 30), (2, 4): pytest.approx((20 - 9 * 0.5) / 30), (3, 6): pytest.approx(1 - 29 * 0.5 / 30)}
+
+
 def test_alignment_scores_match_plain_smith_waterman():
     r = random.Random(2)
     for _ in range(50):
