@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where none is set, as in tests."""
+    """The shared folder that the cluster names.  Only a ``local`` master may do without: its one machine's folder is shared."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="curbline-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -30,22 +32,40 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{scratch_root(spark)}/curbline/{tag}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends there and survives lost executors."""
+def stage(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """Write df to the shared folder and read it again: lineage ends there and survives lost executors.
+
+    With ``by``, rows of each value of that column have a folder of their own, and the column comes last.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.mode("overwrite").parquet(path)
-    spark._jvm.System.gc()  # what only the written plan needed, its shuffle files above all, can go now
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    columns = [c for c in df.columns if c != by] + ([by] if by else [])
+    return spark.read.schema(df.select(*columns).schema).parquet(path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def drop_stage(df: DataFrame) -> None:
     """Delete the files of a staged table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in {f[: f.index("/", f.index("/curbline/") + 10)] for f in df.inputFiles()}:
+        drop_path(df.sparkSession, folder)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to differ from every column of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def ascii_lower(c: Column) -> Column:

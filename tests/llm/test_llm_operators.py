@@ -63,9 +63,23 @@ def test_line_dedup(spark, batches):
     pool = [f"shared line number {i}" for i in range(12)] + ["  SHARED Line number 3\t", "short", "éÉ accented lines É", ""]
     rows = [(i, "\n".join(r.choice(pool) if r.random() < 0.6 else words(r, 4) for _ in range(r.randint(0, 9)))) for i in range(40)]
     rows += [(41, None), (42, ""), (43, rows[3][1]), (43, rows[3][1]), (None, "shared line number 1\nx"), (44, "\n".join(["shared line number 1"] * 300))]
-    df = spark.createDataFrame([(d, t, "x", 7) for d, t in rows], "doc_id long, text string, __key string, n_dropped long").drop("__key")
-    got = sorted(((x["doc_id"], x["n_lines"], x["n_dropped"], x["text"]) for x in line_dedup.dedup_lines(df, batches=batches, fanout=2).collect()), key=repr)
-    assert got == plain_line_dedup(rows)
+    rows += [(45, ("x" * 2_000_000) + "\nshared line number 2\n" + "y" * 10), (46, "\n".join(f"line of a long document {k}" for k in range(20_000)))]
+    clash = ["id", "t", "pos", "__drop", "h1"]
+    df = spark.createDataFrame([(d, t, 7, *clash) for d, t in rows], "doc_id long, text string, n_dropped long, id string, t string, pos string, __drop string, h1 string")
+    got = line_dedup.dedup_lines(df, batches=batches, fanout=2).collect()
+    assert sorted(((x["doc_id"], x["n_lines"], x["n_dropped"], x["text"]) for x in got), key=repr) == plain_line_dedup(rows)
+    assert {tuple(x[c] for c in clash) for x in got} == {tuple(clash)}
+    assert not [x for x in spark.catalog.listTables() if x.name.startswith("curbline_run_")]
+
+
+def test_line_runs_compact(spark):
+    runs = line_dedup.LineRuns(spark, fanout=2, buckets=2)
+    batch = lambda *x: spark.createDataFrame([(h, 0, i) for h, i in x], "h1 long, h2 long, id long")
+    got = [sorted((x["h1"], x["owner"]) for x in runs.add(batch(*b)).collect()) for b in ([(1, 1), (2, 1), (2, 2), (3, 2)], [(3, 3), (4, 3)], [(1, 4), (4, 4), (5, 4), (5, 5)])]
+    assert got == [[(2, 1)], [(3, None)], [(1, None), (4, None), (5, 4)]]
+    assert [len(x) for x in runs.levels] == [1, 1]
+    assert [sorted(x["h1"] for x in run.collect()) for run in runs.runs()] == [[5], [1, 2, 3, 4]]
+    runs.close()
 
 
 def test_line_dedup_empty(spark):
