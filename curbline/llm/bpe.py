@@ -11,6 +11,7 @@ lower case, byte-level words with a closing ``</w>``, no decoder); its path is a
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 import unicodedata
@@ -25,12 +26,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 END = "</w>"
 SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
 #: Characters at which str.split() also cuts though they are no white space here.
 ODD_SPACES = re.compile("[\x1c-\x1f]")
 NEVER = np.int64(1) << 40
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
+SHORT = 32  # letters of a word that is merged in a matrix with others
 
 
 def byte_letters() -> dict[int, str]:
@@ -54,9 +58,6 @@ class WordBpe:
         self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         size = 1 + max([*vocab.values(), *self.special.values()])
-        self.token = [""] * size
-        for t, i in {**vocab, **self.special}.items():
-            self.token[i] = t
         self.rank = np.full(size, -1, np.int64)  # of the merge that makes a token
         self.left, self.right = np.arange(size), np.arange(size)
         self.made: list[int] = []  # token of each merge, by rank
@@ -79,9 +80,12 @@ class WordBpe:
         self.closing = {t[: -len(END)]: i for t, i in vocab.items() if t.endswith(END) and sound[i]}
         self.letters = {b: s for b, s in byte_letters().items() if chr(b) != s}
         self.vocab = vocab
-        self.reach: dict[str, int] = {}  # length of the longest inner token by its first two letters
+        lengths: dict[str, set[int]] = {}  # of inner tokens, by their first three letters
         for t in self.inner:
-            self.reach[t[:2]] = max(self.reach.get(t[:2], 1), len(t))
+            if len(t) >= 3:
+                lengths.setdefault(t[:3], set()).add(len(t))
+        self.lengths = {t: tuple(sorted(n, reverse=True)) for t, n in lengths.items()}
+        self.longest_closing = max(map(len, self.closing), default=0)
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
@@ -113,39 +117,95 @@ class WordBpe:
 
     def greedy(self, word: str) -> list[int] | None:
         """Longest match from the left, the last token with the word's end; None if it gets stuck."""
-        out, at, n, inner = [], 0, len(word), self.inner
+        out, at, n, inner, lengths = [], 0, len(word), self.inner, self.lengths
         while True:
-            rest = word[at:] if at else word
-            last = self.closing.get(rest)
-            if last is not None:
-                out.append(last)
-                return out
-            for end in range(min(n - 1, at + self.reach.get(word[at : at + 2], 1)), at, -1):
-                t = inner.get(word[at:end])
-                if t is not None:
-                    out.append(t)
-                    at = end
+            if n - at <= self.longest_closing:
+                last = self.closing.get(word[at:])
+                if last is not None:
+                    out.append(last)
+                    return out
+            for size in lengths.get(word[at : at + 3], ()):
+                if at + size < n and (t := inner.get(word[at : at + size])) is not None:
                     break
             else:
-                return None
+                for size in (2, 1):
+                    if at + size < n and (t := inner.get(word[at : at + size])) is not None:
+                        break
+                else:
+                    return None
+            out.append(t)
+            at += size
+
+    def letters_of(self, word: str) -> list[int]:
+        return [self.vocab[c] for c in word[:-1]] + [self.vocab[word[-1] + END]]
 
     def merged(self, word: str) -> list[int]:
-        """Exact merging, lowest rank first and leftmost among equals; a merge changes its neighbours' ranks only."""
-        parts = [self.vocab[c] for c in word[:-1]] + [self.vocab[word[-1] + END]]
-        rank_of, size, none = self.rank_of, self.size, int(NEVER)
-        ranks = [rank_of.get(a * size + b, none) for a, b in zip(parts, parts[1:])]
-        while ranks:
-            best = min(ranks)
-            if best == none:
+        """Exact merging of one word, lowest rank first and leftmost among equals, in O(n log n).
+
+        Letters are a linked list; a heap holds the rank and place of every pair that has one.  What a merge has changed
+        meanwhile is known by its rank no longer being that of the pair.
+        """
+        parts = self.letters_of(word)
+        rank_of, size, n = self.rank_of, self.size, len(parts)
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+        rank = [rank_of.get(a * size + b, -1) for a, b in zip(parts, parts[1:])] + [-1]
+        heap = [r * n + i for i, r in enumerate(rank) if r >= 0]
+        heapq.heapify(heap)
+        while heap:
+            r, i = divmod(heapq.heappop(heap), n)
+            if rank[i] != r:
+                continue
+            j = after[i]
+            parts[i], rank[j] = self.made[r], -1
+            k = after[i] = after[j]
+            parts[j] = -1
+            if k < n:
+                before[k] = i
+                rank[i] = rank_of.get(parts[i] * size + parts[k], -1)
+                if rank[i] >= 0:
+                    heapq.heappush(heap, rank[i] * n + i)
+            else:
+                rank[i] = -1
+            h = before[i]
+            if h >= 0:
+                rank[h] = rank_of.get(parts[h] * size + parts[i], -1)
+                if rank[h] >= 0:
+                    heapq.heappush(heap, rank[h] * n + h)
+        return [t for t in parts if t >= 0]
+
+    def merged_short(self, words: list[str]) -> list[list[int]]:
+        """Exact merging of many short words at once: in every round each row's best pair, the leftmost of equals, is merged."""
+        if not words:
+            return []
+        letters = [self.letters_of(w) for w in words]
+        sizes = np.array([len(x) for x in letters])
+        width = int(sizes.max()) + 1
+        parts = np.full((len(words), width), -1, np.int64)
+        parts[np.arange(width) < sizes[:, None]] = np.fromiter((t for x in letters for t in x), np.int64)
+        ranks = np.full(parts.shape, NEVER)
+        real = parts[:, 1:] >= 0
+        ranks[:, :-1][real] = self.pair_rank(parts[:, :-1][real], parts[:, 1:][real])
+        made = np.array(self.made, np.int64)
+        done = np.full(parts.shape, -1, np.int64)
+        live, columns = np.arange(len(words)), np.arange(width)
+        while live.size:
+            at = ranks.argmin(axis=1)
+            best = ranks[np.arange(len(live)), at]
+            go = best < NEVER
+            done[live[~go]] = parts[~go]
+            live, parts, ranks, at, best = live[go], parts[go], ranks[go], at[go], best[go]
+            if not live.size:
                 break
-            i = ranks.index(best)
-            parts[i] = self.made[best]
-            del parts[i + 1], ranks[i]
-            if i:
-                ranks[i - 1] = rank_of.get(parts[i - 1] * size + parts[i], none)
-            if i < len(ranks):
-                ranks[i] = rank_of.get(parts[i] * size + parts[i + 1], none)
-        return parts
+            rows = np.arange(len(live))
+            shift = np.minimum(columns + (columns > at[:, None]), width - 1)  # the last column is always empty
+            parts, ranks = np.take_along_axis(parts, shift, 1), np.take_along_axis(ranks, shift, 1)
+            parts[rows, at] = made[best]
+            for place in (at - 1, at):
+                a, b = parts[rows, np.maximum(place, 0)], parts[rows, np.minimum(place + 1, width - 1)]
+                new = np.where((place >= 0) & (b >= 0), self.pair_rank(np.maximum(a, 0), np.maximum(b, 0)), NEVER)
+                ok = place >= 0
+                ranks[rows[ok], place[ok]] = new[ok]
+        return [row[:n].tolist() for row, n in zip(done, (done >= 0).sum(axis=1).tolist())]
 
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
         """int32 ids of distinct words, speculated together and verified together."""
@@ -155,8 +215,13 @@ class WordBpe:
         sizes = np.fromiter((len(g) if g else 0 for g in guess), np.int64, len(guess))
         owner = np.repeat(np.arange(len(guess)), sizes)
         inside = np.flatnonzero(owner[1:] == owner[:-1]) if flat.size else np.zeros(0, np.int64)
-        failed = {*owner[inside[~self.compatible(flat[inside], flat[inside + 1])]].tolist()}
-        return {w: array("i", self.merged(s) if g is None or k in failed else g).tobytes() for k, (w, s, g) in enumerate(zip(words, spelled, guess))}
+        failed = {*owner[inside[~self.compatible(flat[inside], flat[inside + 1])]].tolist(), *(k for k, g in enumerate(guess) if g is None)}
+        short = [k for k in failed if len(spelled[k]) <= SHORT]
+        for k, ids in zip(short, self.merged_short([spelled[k] for k in short])):
+            guess[k] = ids
+        for k in failed.difference(short):
+            guess[k] = self.merged(spelled[k])
+        return {w: array("i", g).tobytes() for w, g in zip(words, guess)}
 
     def _pieces(self, chunk: str) -> list[str]:
         if chunk.isascii():
@@ -165,17 +230,23 @@ class WordBpe:
         return self.pieces.findall(unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower())
 
     def _learn(self, texts: list[list[str]]) -> None:
-        """Make the ids of all chunks (white-space separated strings) that are not yet known."""
-        if len(self.chunks) > CACHE_WORDS:
-            self.chunks.clear()
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        new = {c for text in texts for c in text if c not in self.chunks}
+        """Make the ids of all chunks (white-space separated strings) that are not yet known.
+
+        A full store keeps what these texts hold again.
+        """
+        seen = {c for text in texts for c in text}
+        for name in ("chunks", "words"):
+            if len(store := getattr(self, name)) > CACHE_WORDS:
+                setattr(self, name, {c: store[c] for c in seen if c in store})
+        new = seen.difference(self.chunks)
         split = {c: self._pieces(c) for c in new}
         if unknown := [*{w for words in split.values() for w in words if w not in self.words}]:
             self.words.update(self.encode_words(unknown))
         for c, words in split.items():
-            self.chunks[c] = b"".join([self.words[w] for w in words])
+            self.chunks[c] = self.words[words[0]] if len(words) == 1 else b"".join([self.words[w] for w in words])
+
+    def forget(self) -> None:
+        self.chunks, self.words = {}, {}
 
     def _spans(self, text: str) -> list[str]:
         cut = SPACES.split if ODD_SPACES.search(text) else str.split
@@ -201,15 +272,16 @@ class WordBpe:
                     yield b"".join(map(get, spans))
                 group, size = [], 0
 
-    def decode(self, ids: pa.Array) -> pa.Array:
-        """Texts of a list array of ids: the tokens' texts with a blank between them; unknown ids give nothing."""
-        sizes, values = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(), ids.flatten()
-        known = pc.and_(pc.greater_equal(values, 0), pc.less(values, len(self.token)))
-        if not pc.all(known).as_py():
-            rows = np.repeat(np.arange(len(sizes)), sizes)[known.to_numpy(zero_copy_only=False)]
-            sizes, values = np.bincount(rows, minlength=len(sizes)), values.filter(known)
-        offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
-        return pc.binary_join(pa.ListArray.from_arrays(offsets, pa.array(self.token, pa.string()).take(values)), " ")
+
+def decoded(ids: pa.Array, token: pa.Array) -> pa.Array:
+    """Texts of a list array of ids: the tokens' texts with a blank between them; unknown ids give nothing."""
+    sizes, values = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(), ids.flatten()
+    known = pc.and_(pc.greater_equal(values, 0), pc.less(values, len(token)))
+    if not pc.all(known).as_py():
+        rows = np.repeat(np.arange(len(sizes)), sizes)[known.to_numpy(zero_copy_only=False)]
+        sizes, values = np.bincount(rows, minlength=len(sizes)), values.filter(known)
+    offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+    return pc.binary_join(pa.ListArray.from_arrays(offsets, token.take(values)), " ")
 
 
 @lru_cache(2)
@@ -217,6 +289,17 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+@lru_cache(2)
+def load_tokens(path: str) -> pa.Array:
+    """Texts of a vocabulary's tokens by id: all that decoding needs."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    if spec["decoder"] is not None:
+        raise ValueError(f"{path}: only files without a decoder are read")
+    every = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    return pa.array([every.get(i, "") for i in range(max(every) + 1)], pa.string())
+
+
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """Add the token ids (array<int>) of the whole text.  Null and empty texts have no ids.
 
@@ -235,8 +318,9 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
                 offsets = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(ids), np.int32))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, values)], [*kept, ids_col])
+        model.forget()
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(lean(run), schema)
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -249,10 +333,10 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "de
     at = kept.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(path)
+        token = load_tokens(path)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                yield pa.RecordBatch.from_arrays([*part.columns, model.decode(part.column(at))], [*kept, text_col])
+                yield pa.RecordBatch.from_arrays([*part.columns, decoded(part.column(at), token)], [*kept, text_col])
 
-    return rows.select(*kept).mapInArrow(run, schema)
+    return rows.select(*kept).mapInArrow(lean(run), schema)

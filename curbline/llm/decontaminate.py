@@ -1,10 +1,11 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-One pass over the corpus counts in how many documents every n-gram of the benchmark stands.  Seeds are the rare
+One pass over the corpus finds the texts that hold an n-gram of the benchmark, writes their words as numbers, and so
+counts in how many documents every n-gram stands.  Seeds are the rare
 ones: an n-gram is common if it stands in more than 1/64 of the documents and also in 16 times as many as the median
 n-gram of its item, so that an item that is copied very often keeps its seeds.  Heavily edited copies keep no
 n-gram; they are seeded by the number of neighbouring item words that stand together in the text, or with one word
-between, of which an alignment that suffices has a least number.  A second pass joins passages to items on those seeds and aligns the
+between, of which an alignment that suffices has a least number.  A second pass, over what was written, joins passages to items on those seeds and aligns the
 words around every cluster of hits with the item, so that edited and paraphrased copies score by what they share.
 Items are taken in blocks of a stated size; only a block's n-grams are sent to the executors.
 """
@@ -22,9 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, stage
+
 WORD = re.compile(r"[^\W_]+")
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 COMMON, ABOVE = 64, 16
+CANDIDATES = "id long, texts long, words array<int>, grams array<int>"
 HITS = "doc_id long, item_id long, score double, start long, end long"
 
 
@@ -176,22 +180,36 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 def _find_block(texts: DataFrame, block: Block, min_score: float) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(block)  # bounded by block_items
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b, df = shared.value, Counter()
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of every text that may hold an item, its word numbers and its n-grams; last, a row with the number of all texts."""
+        b, seen = shared.value, 0
+        names = [x.split()[0] for x in CANDIDATES.split(", ")]
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
         for batch in batches:
-            for text in batch.column("text"):
-                df.update(np.unique(b.hits(b.number_words(text.as_py()))[1]).tolist())
-        yield pa.RecordBatch.from_pydict({"g": pa.array(list(df), pa.int64()), "n": pa.array(list(df.values()), pa.int64())})
-
-    df = {r["g"]: r["n"] for r in texts.select("text").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()}
-    seeds = texts.sparkSession.sparkContext.broadcast(block.rare(df, texts.count()))
+            seen += batch.num_rows
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                rows: list[tuple] = []
+                for doc, text in zip(part.column("id").to_pylist(), part.column("text")):
+                    w = b.number_words(text.as_py())
+                    grams = np.unique(b.hits(w)[1])
+                    if grams.size or b.edited(w, min_score):
+                        rows.append((doc, None, w.astype(np.int32), grams.astype(np.int32)))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None, seen, None, None), kinds)], names)
+
+    candidates = stage(texts.mapInArrow(lean(look), CANDIDATES), "benchmark-candidates")
+    df = {r["g"]: r["n"] for r in candidates.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n")).collect()}
+    total = candidates.agg(F.sum("texts")).first()[0] or 0
+    seeds = texts.sparkSession.sparkContext.broadcast(block.rare(df, total))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b, rare = shared.value, seeds.value
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column("id").to_pylist(), batch.column("text")):
-                w = b.number_words(text.as_py())
+            for doc, numbers in zip(batch.column("id").to_pylist(), batch.column("words")):
+                w = numbers.values.to_numpy().astype(np.int64)
                 by_item = defaultdict(list)
                 for pos, g in zip(*(x.tolist() for x in b.hits(w))):
                     for item in {at for at, _ in b.places[g]}:
@@ -218,4 +236,4 @@ def _find_block(texts: DataFrame, block: Block, min_score: float) -> DataFrame:
             columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], [x.split()[0] for x in HITS.split(", ")])
 
-    return texts.mapInArrow(join, HITS)
+    return candidates.filter("words is not null").select("id", "words").mapInArrow(lean(join), HITS)

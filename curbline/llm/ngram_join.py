@@ -9,6 +9,9 @@ Shingles found in more than 1/64 of the documents ("heavy") would gather unbound
 first, are at most 64 times the mean set size in number, come last in the order and travel with
 their documents.
 
+Shingles are 48-bit hashes in the join.  A collision could change a link only between two sets that hold the two shingles
+apart, at odds of about n * n / 2**48 for a pair of n shingles each; sizes and equal sets go by 64 and 128 bits.
+
 Equal sets are one node.  Candidates are verified once for each pair, after length, positional and suffix filters.
 Pairs are made in rounds: first every member of a shingle's group with one leader, which is linear; what is
 then in one component needs no more pairs; the last round joins all remaining pairs between components.
@@ -25,11 +28,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stage, shuffle_partitions, stage
+from .common import drop_stage, lean, release, shuffle_partitions, stage
 from .components import components
 
 HEAVY = 64
-GROUP_DOCS, GROUP_SHINGLES = 4096, 1_500_000
+GROUP_DOCS, GROUP_SHINGLES = 4096, 750_000
 SMALL, BLOCK = 32, 512
 BITS = 48  # of a shingle in the join; sets are counted with all 64
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3))
@@ -37,7 +40,7 @@ MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 60_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -120,13 +123,11 @@ def _deal(words: int, heavy, buckets_log: int):
         owner = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(x) for x in lists])
         order = np.argsort(token, kind="stable")
         token, owner = token[order], owner[order]
-        cuts = np.searchsorted(token >> shift, np.arange((1 << buckets_log) + 1, dtype=np.uint64))
-        for b in range(1 << buckets_log):
-            lo, hi = int(cuts[b]), int(cuts[b + 1])
-            if lo < hi:
-                step = np.diff(token[lo:hi], prepend=np.uint64(b) << shift)
-                wide = bool((step >> np.uint64(32)).any())
-                yield b, batch, bytes([wide]) + step.astype(np.uint64 if wide else np.uint32).tobytes() + owner[lo:hi].tobytes()
+        found, first = np.unique(token >> shift, return_index=True)
+        for b, lo, hi in zip(found.tolist(), first.tolist(), [*first[1:].tolist(), token.size]):
+            step = np.diff(token[lo:hi], prepend=np.uint64(b) << shift)
+            wide = bool((step >> np.uint64(32)).any())
+            yield b, batch, bytes([wide]) + step.astype(np.uint64 if wide else np.uint32).tobytes() + owner[lo:hi].tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sets, size = [], [], 0
@@ -172,6 +173,7 @@ def _count(buckets_log: int):
         first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
         counts = np.diff(np.append(first, every.size))
         shared, df = every[first[counts > 1]], np.minimum(counts[counts > 1], 65535).astype(np.uint16)
+        del every, first, counts
         batch, payload = [], []
         for t, o, i in zip(tokens, owners, rows.column("batch").to_pylist()):
             at = np.searchsorted(shared, t)
@@ -179,6 +181,8 @@ def _count(buckets_log: int):
             if hit.size:
                 batch.append(i)
                 payload.append(b"\x00" + np.uint32(hit.size).tobytes() + t[hit].tobytes() + df[at[hit]].tobytes() + o[hit].tobytes())
+        del tokens, owners
+        release()
         return pa.table({"batch": pa.array(batch, pa.int64()), "payload": pa.array(payload, pa.binary())})
 
     return run
@@ -191,6 +195,7 @@ def _assemble(percent: int):
     """Sets in rare-first order, of the documents whose prefix reaches beyond the shingles that they alone have."""
 
     def run(rows: pa.Table) -> pa.Table:
+        release()
         docs, parts = None, []
         for p in rows.column("payload").to_pylist():
             if p[:1] == b"\x00":
@@ -302,7 +307,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ta", "tb")
-    return both.mapInArrow(_verify(percent), "a long, b long")
+    return both.mapInArrow(lean(_verify(percent)), "a long, b long")
 
 
 def _plausible(pairs: DataFrame, percent: int) -> DataFrame:
@@ -325,7 +330,7 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    profile = stage(rows.mapInArrow(_profile(words), "id long, n long, f1 long, f2 long, token long, found long"), "shingle-profile")
+    profile = stage(rows.mapInArrow(lean(_profile(words)), "id long, n long, f1 long, f2 long, token long, found long"), "shingle-profile")
     known = profile.filter("n is not null").select("id", "n", "f1", "f2")
     reps = stage(known.filter("n > 0 and id is not null").groupBy("f1", "f2").agg(F.min("id").alias("rep")), "equal-sets")
     total = known.count()
@@ -333,8 +338,8 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     heavy = spark.sparkContext.broadcast(np.sort(np.array([r["token"] for r in often.select("token").collect()], np.uint64)))
 
     size = int(str(docs.select(text_col)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    buckets_log = min(16, max(6, (size >> 21).bit_length()))  # about a million shingles to a bucket
-    dealt = rows.filter("id is not null").mapInArrow(_deal(words, heavy, buckets_log), "bucket int, batch long, payload binary")
+    buckets_log = min(30, max(6, (size >> 21).bit_length()))  # about a million shingles to a bucket, at any size (2**30 buckets: 2 PB)
+    dealt = rows.filter("id is not null").mapInArrow(lean(_deal(words, heavy, buckets_log)), "bucket int, batch long, payload binary")
     back = dealt.groupBy("bucket").applyInArrow(_count(buckets_log), "batch long, payload binary")
     sets = stage(back.groupBy("batch").applyInArrow(_assemble(percent), SETS), "rare-first")
     sets_of = stage(sets.join(reps.withColumnRenamed("rep", "id"), ["f1", "f2", "id"]).dropDuplicates(["id", "f1", "f2"]).select("id", "n", "unique", "k", "tokens"), "rare-first-sets")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stage, shuffle_partitions, stage
+from .common import drop_stage, lean, shuffle_partitions, stage, unused
 from .suffix_array import suffix_array
 
 GRAM = 32
@@ -226,8 +226,9 @@ def find_repeats(texts: DataFrame, length: int, max_pieces: int = 8192) -> DataF
     """(id, tag, lo, hi): covered byte spans, possibly overlapping, of rows (id, tag, text)."""
     if length % BLOCK or length < 2 * GRAM + 2 * BLOCK:
         raise ValueError(f"length must be a multiple of {BLOCK} and at least {2 * GRAM + 2 * BLOCK}")
-    cut = stage(texts.mapInArrow(_cut(length), PIECES), "pieces")
-    several = cut.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h")
+    cut = stage(texts.mapInArrow(lean(_cut(length)), PIECES), "pieces")
+    # Written first: the join then has exchanges on both sides, and a gram that a third of the pieces hold is split.
+    several = stage(cut.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h"), "shared-grams")
     shared = stage(cut.join(several, "h", "left_semi"), "shared-pieces")
     drop_stage(cut)
     one = F.struct("id", "tag", "at", "size", "anchor")
@@ -237,28 +238,28 @@ def find_repeats(texts: DataFrame, length: int, max_pieces: int = 8192) -> DataF
 
     sides = []
     for side in ("l", "r"):
-        met = distinct.filter(F.col(side) != 0).groupBy("h", side).agg(F.count("*").alias("k"), F.min("copies").alias("least")).filter("k > 1 and least = 1").select("h", side)
+        met = stage(distinct.filter(F.col(side) != 0).groupBy("h", side).agg(F.count("*").alias("k"), F.min("copies").alias("least")).filter("k > 1 and least = 1").select("h", side), "shared-sides")
         sides.append(distinct.join(met, ["h", side], "left_semi").select("h", "copies", "one", "c1", "c2"))
     open_ = stage(sides[0].unionByName(sides[1]).dropDuplicates(["h", "c1", "c2"]), "open-pieces")
     wanted = open_.select("h", "copies", "one.*").groupBy("id", "tag").agg(F.collect_list(F.struct("h", "copies", "at", "size", "anchor")).alias("want"))
     wanted = stage(wanted, "wanted-pieces")
-    cutouts = stage(texts.join(wanted, ["id", "tag"]).dropDuplicates(["id", "tag"]).select("id", "tag", "text", "want").mapInArrow(_extract, OPEN), "piece-bytes")
+    cutouts = stage(texts.join(wanted, ["id", "tag"]).dropDuplicates(["id", "tag"]).select("id", "tag", "text", "want").mapInArrow(lean(_extract), OPEN), "piece-bytes")
     large = stage(cutouts.groupBy("h").agg(F.count("*").alias("k")).filter(F.col("k") > max_pieces).select("h"), "large-grams")
     n = max(2, shuffle_partitions(texts.sparkSession))
     small = cutouts.join(large, "h", "left_anti").select("h", "copies", "id", "tag", "at", "anchor", "data")
-    spans.append(small.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_match(length), "id long, tag long, lo long, hi long"))
+    spans.append(small.repartition(n, "h").sortWithinPartitions("h").mapInArrow(lean(_match(length)), "id long, tag long, lo long, hi long"))
     rest = cutouts.join(large, "h", "left_semi").select("h", "copies", "id", "tag", "at", "anchor", "data")
-    strings = stage(rest.mapInArrow(_strings(length), "copies long, id long, tag long, lo long, s1 long, s2 long"), "single-strings")
+    strings = stage(rest.mapInArrow(lean(_strings(length)), "copies long, id long, tag long, lo long, s1 long, s2 long"), "single-strings")
     again = strings.groupBy("s1", "s2").agg(F.sum("copies").alias("k")).filter("k > 1").select("s1", "s2")
     spans.append(strings.filter("copies = 1").join(again, ["s1", "s2"], "left_semi").select("id", "tag", "lo", (F.col("lo") + length).alias("hi")))
     return spans[0].unionByName(spans[1]).unionByName(spans[2])
 
 
-def _remove(kept: list[str], at: int):
+def _remove(kept: list[str], at: int, lo_col: str, hi_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, spans, n_bytes = [], [], []
-            for text, lows, highs in zip(batch.column(at), batch.column("__lo").to_pylist(), batch.column("__hi").to_pylist()):
+            for text, lows, highs in zip(batch.column(at), batch.column(lo_col).to_pylist(), batch.column(hi_col).to_pylist()):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 runs: list[list[int]] = []
                 for lo, hi in sorted(zip(lows or [], highs or [])):
@@ -292,7 +293,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = find_repeats(texts, length)
     # Touching pieces of a text are many; runs are merged before they meet the text.
     gathered = spans.groupBy("id", "tag").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("s"))
-    gathered = stage(gathered.select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), F.col("s.lo").alias("__lo"), F.col("s.hi").alias("__hi")), "repeat-spans")
-    rows = docs.select(*kept, key.alias("__id"), tag.alias("__tag")).join(gathered, ["__id", "__tag"], "left").select(*kept, "__lo", "__hi")
+    own = unused(docs, "id", "tag", "lo", "hi")
+    gathered = stage(gathered.select("id", "tag", "s.lo", "s.hi"), "repeat-spans").toDF(*own)
+    rows = docs.select(*kept, key.alias(own[0]), tag.alias(own[1])).join(gathered, own[:2], "left").select(*kept, *own[2:])
     schema = docs.select(*kept).withColumns({"n_bytes": F.lit(0).cast("long"), "kept_bytes": F.lit(b""), "removed": F.array().cast("array<struct<start:bigint,end:bigint>>")}).schema
-    return rows.mapInArrow(_remove(kept, kept.index(text_col)), schema)
+    return rows.mapInArrow(lean(_remove(kept, kept.index(text_col), *own[2:])), schema)

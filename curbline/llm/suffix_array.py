@@ -2,7 +2,9 @@
 
 A suffix's Lyndon prefix reaches to the next smaller suffix, and is its first symbol followed by the Lyndon prefixes
 of its children, the suffixes whose previous smaller suffix it is.  Groups begin with the first symbol
-alone.  They are processed from the largest down; a processed group's members extend the prefixes of their
+alone.  They are processed from the largest down.  When a group's turn has come, all larger suffixes are done, so a member's
+previous smaller suffix is the nearest place to its left that is neither done nor in the group: it is found over
+the done places by pointers, and no text is compared.  A processed group's members extend the prefixes of their
 parents, so the parents leave their group for a higher one, further up the more such children they have.  Once all
 groups are done, one ascending pass over them emits the order: a suffix stands where the suffix that follows
 its Lyndon prefix has been met.  There is no recursion and no renaming.
@@ -13,37 +15,13 @@ from __future__ import annotations
 from collections import defaultdict
 
 
-def previous_smaller(text: list[int], reach: int) -> list[int]:
-    """Of every suffix, the nearest suffix to the left that is smaller, else -1.
-
-    Suffixes are compared symbol by symbol from slices of ``reach``; a comparison costs as much as the two have in common.
-    """
-    stack: list[int] = []
-    out = [-1] * len(text)
-    for i, c in enumerate(text):
-        while stack:
-            j = stack[-1]
-            if text[j] != c:
-                smaller = text[j] < c
-            else:
-                k = 0
-                while (a := text[j + k : j + k + reach]) == (b := text[i + k : i + k + reach]) and b:
-                    k += reach
-                smaller = a < b
-            if smaller:
-                out[i] = j
-                break
-            stack.pop()
-        stack.append(i)
-    return out
-
-
-def suffix_array(text: list[int], reach: int = 64) -> list[int]:
+def suffix_array(text: list[int]) -> list[int]:
     """Starts of the suffixes of a list of integers, in ascending order."""
     n = len(text)
     if not n:
         return []
-    parent = previous_smaller(text, reach)
+    parent = [-1] * n
+    jump = [*range(n + 1)]  # place i stands at i + 1, the end before the text at 0; one that is done points further left
     order = sorted(range(n), key=text.__getitem__)  # group by first symbol
     place = [0] * n
     group = [0] * n  # the group of a suffix, named by an index of start and end
@@ -63,6 +41,13 @@ def suffix_array(text: list[int], reach: int = 64) -> list[int]:
     while top:
         g = group[order[top - 1]]
         low = start[g]
+        for i in order[low:top]:
+            jump[i + 1] = i
+        for i in order[low:top]:
+            at = i
+            while jump[at] != at:  # pointers on the way are halved
+                jump[at] = at = jump[jump[at]]
+            parent[i] = at - 1
         if top - low == 1:
             p = parent[order[low]]
             by_count = [(1, [p])] if p >= 0 else []

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -120,6 +121,40 @@ def test_toxicity_held_out(spark):
     assert hit["neighbours"][0]["label"] == 1 and set(t.rstrip("~") for t in hit["terms"]) & {b[: len(t.rstrip("~"))] for b in bad for t in hit["terms"]}
 
 
+def test_toxicity_equals_brute_force(spark):
+    """Vectors, cosines, votes and calibration again without an index; with ties, repeats, nulls, clashing and empty columns."""
+    r = random.Random(15)
+    bad = ["grokk", "snarfel", "vexxon", "grokkish"]
+    texts = [words(r, 12) + "".join(" " + r.choice(bad) for _ in range(i % 4 == 0 and r.randint(1, 3))) for i in range(240)]
+    texts += [None, "", texts[0], texts[4], "word " * 60_000 + "grokk"]
+    docs = docs_of(spark, texts).withColumns({"score": F.lit("x"), "neighbours": F.lit(1)})
+    docs = docs.unionByName(docs.filter("doc_id in (1, 5)"))
+    labels = spark.createDataFrame([(i + 1, int(i % 4 == 0)) for i in range(160)], "doc_id long, toxic int")
+    index = toxicity.fit(docs, labels, min_z=2.0)
+    every = [(x["doc_id"], x["text"]) for x in docs.collect()]
+    unit = {i: dict(zip(*(c.tolist() for c in index.vector(t or "")))) for i, t in every}
+    examples = [(i, int(i % 4 == 1), unit[i]) for i, _ in every if i <= 160]
+
+    def vote(v, but=None):
+        near = sorted((-round(sum(w * e.get(c, 0.0) for c, w in v.items()), 12), index.ids.index(i), y) for i, y, e in examples if i != but and e) if v else []
+        near = [(-c, y, index.prior[at]) for c, at, y in near if c < 0][:15]
+        if not near:
+            return index.base
+        w = [p / (1.05 - min(c, 1.0)) for c, _, p in near]
+        lean = index.prior.mean() * (1.0 - min(near[0][0], 1.0))
+        return (sum(a * y for a, (_, y, _) in zip(w, near)) + lean * index.base) / (sum(w) + lean)
+
+    votes = sorted((vote(e, i), y) for i, y, e in examples)
+    weights = np.array([40 / 42 if y else 1.0 for _, y in votes])  # two of the 40 toxic rows stand twice
+    steps = toxicity.monotone_steps(*(np.array(c, float) for c in zip(*votes)), weights, 0.5 * weights.mean())
+    assert np.allclose(index.steps[0], steps[0]) and np.allclose(index.steps[1], steps[1])
+    for x in toxicity.score(docs, index).collect():
+        v = vote(unit[x["doc_id"]])
+        at = max(0, np.searchsorted(index.steps[0], v + 1e-9, "right") - 1)
+        assert x["score"] == pytest.approx(index.steps[1][at]) and x["predicted"] == int(x["score"] >= 0.7)
+    assert toxicity.score(docs.limit(0), index).count() == 0
+
+
 def test_toxicity_without_labels(spark):
     docs = docs_of(spark, ["a b", None])
     index = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
@@ -276,7 +311,7 @@ def test_bpe_equals_the_library(spark, tokenizer):
     r = random.Random(4)
     pieces = ["a", "b", "S", "'", "'s", "'LL", " ", "\t", "\n", "\x1c", "\x85", "\xa0", "é", "é", "İ", "Σ", "ß", "½", "Ⅷ", "1", "23", "<|endoftext|>", "<|ENDOFTEXT|>", "<", "漢字", "🙂", "\x00", "ﬁ", "ing", "THE", "aaaaaaa", "ababab", "_", "-", "...", "र्"]
     texts = ["".join(r.choice(pieces) for _ in range(r.randint(0, 40))) for _ in range(1500)] + [words(r, 400, "abcdeinorstth") for _ in range(40)]
-    texts += [None, "", "x" * 5000, "thing " * 3000]
+    texts += [None, "", "x" * 5000, "thing " * 3000, "".join(r.choice("abcdeinorst+/") for _ in range(150_000))]
     coded = bpe.decode(bpe.encode(docs_of(spark, texts).withColumn("ids", F.lit(3)), path), path)
     got = {x["doc_id"]: x for x in coded.collect()}
     for i, t in enumerate(texts, 1):
@@ -285,6 +320,16 @@ def test_bpe_equals_the_library(spark, tokenizer):
         assert got[i]["decoded"] == library.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_long_word_is_quick(tokenizer):
+    path, library = tokenizer
+    r = random.Random(8)
+    for word in ("".join(r.choice("ABCDEFGHabcdefgh") for _ in range(1_000_000)), "ab" * 300_000):
+        model, began = bpe.WordBpe(path), time.process_time()
+        ids = np.frombuffer(b"".join(model.encode([word])), np.int32)
+        assert time.process_time() - began < 40  # seconds, on a slow machine too
+        assert ids.tolist() == library.encode(word, add_special_tokens=False).ids
+
+
 def test_bpe_unknown_and_null_ids(spark, tokenizer):
     path, _ = tokenizer
     df = spark.createDataFrame([(1, [320, -1, 10**6, 321]), (2, None), (3, [])], "k int, ids array<int>")
@@ -327,9 +372,19 @@ def test_ngram_join_null_ids_and_empty(spark):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.integers(0, 3), max_size=40), st.sampled_from([1, 2, 64]))
-def test_suffix_array(text, reach):
-    assert suffix_array(text, reach) == sorted(range(len(text)), key=lambda i: text[i:])
+@given(st.lists(st.integers(0, 3), max_size=40))
+def test_suffix_array(text):
+    assert suffix_array(text) == sorted(range(len(text)), key=lambda i: text[i:])
+
+
+def test_suffix_array_of_periodic_texts_is_linear():
+    def took(n):
+        began = time.process_time()
+        assert len(suffix_array([i % 7 for i in range(n)])) == n
+        return time.process_time() - began
+
+    took(8_000)
+    assert took(64_000) < 20 * max(0.01, took(8_000))
 
 
 def plain_repeats(texts, length):
