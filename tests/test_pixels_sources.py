@@ -44,11 +44,29 @@ def test_bending(kind, amount, label):
     assert waviness.analyse(facade(kind, amount))["waviness_label"] == label
 
 
+def test_bending_survives_blur_and_noise_alone_is_none():
+    soft = lambda img, r: np.stack([np.clip(pixels.gaussian(img[..., c].astype(np.float32), r), 0, 255) for c in range(3)], -1).astype(np.uint8)
+    got = waviness.analyse(soft(facade("sine", 16), 2))
+    assert got["waviness_label"] == "wavy" and got["support"] >= 3
+    assert waviness.analyse(soft(facade("straight", 0), 3))["waviness_label"] == "no_strong_evidence"
+    noise = np.random.default_rng(8).integers(0, 256, (720, 960, 3), dtype=np.uint8)
+    assert waviness.analyse(noise)["waviness_label"] != "wavy"
+
+
+def test_edge_spread_is_the_length_of_the_monotone_run():
+    row = np.array([0, 0, 10, 20, 30, 30, 20, 20, 5, 0], np.float32)
+    g = np.tile(row, (5, 1))
+    widths = pixels.edge_spread(g, np.array([2 * 10 + 2, 2 * 10 + 3, 2 * 10 + 8]))
+    assert widths.tolist() == [3, 3, 2]
+    assert pixels.uncovered((10, 10), [(0.0, 0.0, 0.31, 0.5), (0.9, 0.9, 1.5, 2.0)]).sum() == 100 - 4 * 5 - 1
+    assert pixels.uncovered((4, 4), None).all()
+
+
 def test_bending_needs_evidence():
     assert waviness.analyse(np.full((720, 960, 3), 128, np.uint8))["waviness_label"] == "insufficient_evidence"
     assert waviness.check(np.zeros((512, 1024, 3), np.uint8))["waviness_label"] is None
     with pytest.raises(ValueError):
-        waviness.Settings(decision=0)
+        waviness.Settings(decision=101)
 
 
 def test_measure_reports_broken_pictures(spark):
