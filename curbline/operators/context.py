@@ -17,10 +17,13 @@ SLAB = 4096
 
 def median_of(values: Column) -> Column:
     """Exact median of an array of doubles without nulls; null for an empty one."""
-    s, n = F.array_sort(values), F.size(values)
-    half = F.floor(n / 2).cast("int")
-    middle = F.when(n % 2 == 1, F.get(s, half)).otherwise((F.get(s, half - 1) + F.get(s, half)) / F.lit(2.0))
-    return F.when(n > 0, middle)
+
+    def middle(s: Column) -> Column:
+        n = F.size(s)
+        half = F.floor(n / 2).cast("int")
+        return F.when(n > 0, F.when(n % 2 == 1, F.get(s, half)).otherwise((F.get(s, half - 1) + F.get(s, half)) / F.lit(2.0)))
+
+    return F.get(F.transform(F.array(F.array_sort(values)), middle), F.lit(0))  # sorted once
 
 
 def neighbourhood(df: DataFrame, window: int, carry: tuple[str, ...], slab: int = SLAB) -> DataFrame:

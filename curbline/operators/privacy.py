@@ -42,8 +42,12 @@ def clipped(found: Column, width: Column, height: Column) -> Column:
 def union_area(found: Column) -> Column:
     """Area that an array of boxes covers, overlaps once: slabs between x cuts, merged y intervals within each.
 
-    All within one row's array, so no shuffle is needed; the work is that of one picture's boxes.
+    All within one row's array, so no shuffle is needed; the work is that of one picture's boxes, which are made once.
     """
+    return F.get(F.transform(F.array(found), _area_of), F.lit(0))
+
+
+def _area_of(found: Column) -> Column:
     xs = F.array_sort(F.array_distinct(F.flatten(F.transform(found, lambda b: F.array(b["x0"], b["x1"])))))
     slabs = F.when(F.size(xs) > 1, F.zip_with(F.slice(xs, F.lit(1), F.size(xs) - 1), F.slice(xs, F.lit(2), F.size(xs) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).otherwise(F.array().cast("array<struct<a:double,b:double>>"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 
 def sequence_summary(judged: DataFrame, position: str = "position") -> DataFrame:
     """Per collection: pictures, median score (4 dp), excluded, camera of the first row."""
@@ -44,9 +46,22 @@ def review_filter(kind: str, value: str | None = None) -> Column:
 
 
 def review_rows(judged: DataFrame, order: str = "worst", kind: str = "all", value: str | None = None, position: str = "position") -> DataFrame:
-    """The review page's rows with their place; ordering a page is a total order by its nature."""
-    rows = judged.filter(review_filter(kind, value))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(*review_order(order, position))))
+    """The review page's rows with their place in the order.
+
+    Rows are dealt by ranges of the order, sorted and written; a row's place is its place in its range and the sizes of
+    the ranges before it, so that no task holds all rows.
+    """
+    by = review_order(order, position)
+    rows = judged.filter(review_filter(kind, value)).repartitionByRange(*by).sortWithinPartitions(*by)
+    low = 2**33  # monotonically_increasing_id: the partition in the upper bits, the row in the lower 33
+    uid = F.monotonically_increasing_id()
+    dealt = written(rows.withColumns({"__range": F.floor(uid / low).cast("int"), "__row": uid.bitwiseAND(F.lit(low - 1))}), "review")
+    return dealt.join(F.broadcast(_before(dealt.groupBy("__range").agg(F.count("*").alias("n")))), "__range").withColumn("place", F.col("__row") + F.col("before") + 1).drop("__range", "__row", "before")
+
+
+def _before(sizes: DataFrame) -> DataFrame:
+    """(__range, before): the sum of n over all earlier ranges; one row for each range, no more than there are tasks."""
+    return sizes.select("__range", (F.sum("n").over(Window.orderBy("__range")) - F.col("n")).alias("before"))
 
 
 CARD = ("id", "collection", "rank", "camera", "is_pano", "datetime", "license", "quality_score", "sharpness", "blurred_area", "cpbd", "privacy_blur", "privacy_record", "orientation", "orientation_confidence", "waviness_label", "ad_rejected", "excluded", "issues", "context", "lon_lat")
@@ -85,6 +100,18 @@ def script_json(c: Column) -> Column:
 
 
 def consensus(df: DataFrame, metrics: list[str], key: str) -> DataFrame:
-    """Mean over the metrics of each row's percentile rank."""
-    ranks = [F.percent_rank().over(Window.orderBy(m)) for m in metrics]
-    return df.select(key, (sum(ranks[1:], ranks[0]) / F.lit(float(len(metrics)))).alias("consensus"))
+    """Mean over the metrics of each row's percentile rank: (rows with a smaller value) / (rows - 1), nulls smallest.
+
+    Ranks come from the distinct values and their counts, summed up within ranges of values.
+    """
+    total = df.count()
+    out = df
+    for k, m in enumerate(metrics):
+        counts = df.groupBy(F.col(m).alias("v")).agg(F.count("*").alias("n")).repartitionByRange(F.asc_nulls_first("v"))
+        dealt = written(counts.withColumn("__range", F.spark_partition_id()), "ranks")
+        within = F.sum("n").over(Window.partitionBy("__range").orderBy(F.asc_nulls_first("v"))) - F.col("n")
+        rank = dealt.withColumn("within", within).join(F.broadcast(_before(dealt.groupBy("__range").agg(F.sum("n").alias("n")))), "__range")
+        rank = rank.select(F.col("v").alias(f"__v{k}"), ((F.col("within") + F.col("before")) / F.lit(float(max(1, total - 1)))).alias(f"__r{k}"))
+        out = out.join(rank, out[m].eqNullSafe(rank[f"__v{k}"]))
+    ranks = [F.col(f"__r{k}") for k in range(len(metrics))]
+    return out.select(key, (sum(ranks[1:], ranks[0]) / F.lit(float(len(metrics)))).alias("consensus"))

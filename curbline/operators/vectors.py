@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EPS = 1e-8
+POLICY_BYTES = 64 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -29,15 +30,16 @@ def category_scores(pictures: DataFrame, prompts: DataFrame, key: str = "id", ve
     """(key, kind, category, score): mean of the two largest cosines over each category's prompts.
 
     ``prompts`` (kind, category, prompt vector) is a policy table of a fixed size; it is gathered to one row, whose size is
-    checked, and sent with the plan instead of a row for each (picture, prompt).
+    checked in prompts and bytes, and sent with the plan instead of a row for each (picture, prompt).
     """
-    n = prompts.count()
-    if n > 4096:
-        raise ValueError(f"{n} prompts are more than a policy has; at most 4096 are broadcast")
-    groups = prompts.groupBy("kind", "category").agg(F.collect_list("vector").alias("prompts"))
-    top2 = F.slice(F.sort_array(F.transform("prompts", lambda p: cosine(F.col(vector), p)), asc=False), 1, 2)
-    mean = F.aggregate(top2, F.lit(0.0), lambda s, x: s + x) / F.size(top2)
-    return pictures.select(key, vector).crossJoin(F.broadcast(groups)).select(key, "kind", "category", mean.alias("score"))
+    n, numbers = prompts.agg(F.count("*"), F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()
+    if n > 4096 or 8 * numbers > POLICY_BYTES:
+        raise ValueError(f"{n} prompts of {numbers} numbers are more than a policy has; at most 4096 and {POLICY_BYTES} bytes are broadcast")
+    groups = prompts.groupBy("kind", "category").agg(F.collect_list(F.struct("vector", F.greatest(norm(F.col("vector")), F.lit(EPS)).alias("norm"))).alias("prompts"))
+    own = pictures.select(key, F.col(vector).alias("own"), F.greatest(norm(F.col(vector)), F.lit(EPS)).alias("own_norm"))
+    best = F.sort_array(F.transform("prompts", lambda p: dot(F.col("own"), p["vector"]) / (F.col("own_norm") * p["norm"])), asc=False)
+    mean = F.transform(F.array(F.slice(best, 1, 2)), lambda t: F.aggregate(t, F.lit(0.0), lambda s, x: s + x) / F.size(t))
+    return own.crossJoin(F.broadcast(groups)).select(key, "kind", "category", F.get(mean, F.lit(0)).alias("score"))
 
 
 def best_categories(scores: DataFrame, key: str = "id", kinds: tuple[str, ...] = ("reference", "advertising")) -> DataFrame:

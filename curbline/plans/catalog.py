@@ -226,10 +226,10 @@ def flatten_items(spark: SparkSession, d: str) -> DataFrame:
     return ingest.flatten_items(catalogue(spark, d)).select("id", "collection", "is_pano", "camera", "rank", "gps_accuracy", "pixel_density", "instance_api", "hd_url")
 
 
-@query("""select event_id::varchar as id, event_id % 100 as rank from events where event_id % 360 - 180 between -10 and 40 and event_id % 180 - 90 between -20.5 and 30""")
+@query("""select event_id::varchar as id, event_id % 100 as rank from events where event_id % 360 - 180 between 60 and 120 and event_id % 180 - 90 between -20.5 and 30""")
 def bbox_search(spark: SparkSession, d: str) -> DataFrame:
     items = ingest.flatten_items(catalogue(spark, d))
-    return items.filter(ingest.in_bbox(ingest.parse_bbox("-10,-20.5,40,30"))).select("id", F.col("rank").cast("long").alias("rank"))
+    return items.filter(ingest.in_bbox(ingest.parse_bbox("60,-20.5,120,30"))).select("id", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"with {PICTURES_SQL} select id, rank from pictures where collection = '3' and rank > 5 order by rank, id limit 40")
@@ -389,15 +389,19 @@ def _hashes(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with h as (select vec_id, {HASH_SQL} as h from embeddings) select a.vec_id as a, b.vec_id as b, cast(bit_count(xor(a.h, b.h)) as integer) as distance from h a join h b on a.vec_id < b.vec_id and bit_count(xor(a.h, b.h)) <= 14")
 def near_duplicates_pairs(spark: SparkSession, d: str) -> DataFrame:
     rows = _hashes(spark, d)
-    classes = dedupe.near_hashes(rows, "dhash", 14)
+    classes = dedupe.near_hashes(rows, "dhash", 14, bits=56)
     x = classes.join(rows.select(F.col("vec_id").alias("p"), F.col("dhash").alias("h1")), "h1").join(rows.select(F.col("vec_id").alias("q"), F.col("dhash").alias("h2")), "h2")
     return x.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "distance")
 
 
-@query()
+@query(f"""with recursive h as (select vec_id, {HASH_SQL} as h, row_number() over (order by vec_id) as n from embeddings),
+g as (select 0::bigint as n, cast([] as struct(id bigint, h bigint)[]) as seen, cast(null as bigint) as vec_id, cast(null as bigint) as dup
+  union all select n, case when dup is null then list_append(seen, {{'id': vec_id, 'h': h}}) else seen end, vec_id, dup from (
+    select h.n, g.seen, h.vec_id, h.h, coalesce(list_filter(g.seen, lambda x: x.h = h.h)[1].id, list_filter(g.seen, lambda x: bit_count(xor(x.h, h.h)) <= 14)[1].id) as dup from g join h on h.n = g.n + 1))
+select vec_id, dup is null as kept, dup as duplicate_of from g where n > 0""")
 def dedupe_greedy(spark: SparkSession, d: str) -> DataFrame:
     rows = _hashes(spark, d).withColumn("sha1", F.sha1(F.col("dhash").cast("string")))
-    return dedupe.drop_duplicates(rows, position="vec_id", max_distance=14).select("vec_id", "kept", "duplicate_of")
+    return dedupe.drop_duplicates(rows, position="vec_id", max_distance=14, bits=56).select("vec_id", "kept", "duplicate_of")
 
 
 def _detections(spark: SparkSession, d: str) -> DataFrame:
@@ -424,7 +428,7 @@ def privacy_union_area(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("l_orderkey", privacy.union_area(privacy.clipped(found, F.col("width"), F.col("height"))).alias("area"), F.size(found).cast("long").alias("patches"))
 
 
-@query()
+@query(f"select l_orderkey, cast(format('{{:.4f}}', area / 800000.0::double) as double) as privacy_blur, cast(patches as integer) as privacy_patches, 'sgblur' as privacy_record from ({AREA_SQL})")
 def privacy_blurred_share(spark: SparkSession, d: str) -> DataFrame:
     return privacy.with_blurred_share(_detections(spark, d)).select("l_orderkey", "privacy_blur", "privacy_patches", "privacy_record")
 

@@ -62,10 +62,14 @@ class CatalogueReader(DataSourceReader):
         o = self.options
         limit, after = (int(o[k]) if k in o else None for k in ("limit", "startafterrank" if "startafterrank" in o else "startAfterRank"))
         box = [float(x) for x in o["bbox"].split(",")] if "bbox" in o else None
+        found = 0
         for item in collection_items(from_folder(o["path"]), f"{partition.value}.json", limit if box is None else None, after):
             at = (item.get("geometry") or {}).get("coordinates") or [None, None]
             if box is None or None not in at[:2] and box[0] <= at[0] <= box[2] and box[1] <= at[1] <= box[3]:
                 yield (json.dumps(item),)
+                found += 1
+                if found == limit:  # of the items within the box
+                    return
 
 
 def read_catalogue(spark, path: str, **options):

@@ -47,8 +47,8 @@ def read_images(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def decoded(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, height, width, channels, data) through the JVM's decoder, pixels in BGR order; files that fail are left out."""
-    images = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path)
+    """(path, height, width, channels, data) through the JVM's decoder, pixels in BGR order; files that fail have a height of -1."""
+    images = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(path)
     return images.select("image.origin", "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data").withColumnRenamed("origin", "path")
 
 
@@ -66,6 +66,8 @@ def pixels_of(height: int, width: int, channels: int, data: bytes) -> np.ndarray
 
 def guard(height: int, width: int, max_pixels: int = 40_000_000, min_side: int = 96) -> str | None:
     """Why a picture is not examined, if so."""
+    if height <= 0 or width <= 0:
+        return "picture cannot be decoded"
     if height * width > max_pixels:
         return "picture too large"
     return "picture too small" if min(height, width) < min_side else None
