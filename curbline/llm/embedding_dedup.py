@@ -61,11 +61,39 @@ def _signed(tables: int, bits: int, seed: int):
     return run
 
 
+def _joined_batches(first: pa.RecordBatch, second: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.Table.from_batches([first, second]).combine_chunks().to_batches()[0]
+
+
+def _whole(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by a column, cut anew so that all rows of a value stand in one batch."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        batch = batch if held is None else _joined_batches(held, batch)
+        start = _runs(batch.column(column))[-1][0]
+        if start:
+            yield batch.slice(0, start)
+        held = batch.slice(start)
+    if held is not None:
+        yield held
+
+
 def _window(width: int):
-    """Edges between rows at most ``width`` apart in their order, in the same table and group."""
+    """Edges between rows at most ``width`` apart in their order, in the same table and group.
+
+    The last rows of a batch stand before the next one again; only the borders of partitions part neighbours, and
+    every table has other borders.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = batch if last is None else _joined_batches(last, batch)
+            last = batch.slice(max(0, batch.num_rows - width))
             key = pc.binary_join_element_wise(batch.column("g"), pc.cast(batch.column("t"), pa.string()), "/")
             for lo, hi in _runs(key):
                 m, ids = _matrix(batch.column("vec").slice(lo, hi - lo)), batch.column("id").slice(lo, hi - lo).to_numpy()
@@ -88,9 +116,9 @@ def _best(edges: DataFrame, k: int, order: Column | None = None) -> DataFrame:
 def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (c, m, floor, vec) sorted by c: edges between the members of a centre that beat a member's k-th similarity.
 
-    A centre that two batches share is joined in either part; the later rounds make up for it.
+    A centre's members, at most twice a list's length and itself, are taken together.
     """
-    for batch in batches:
+    for batch in _whole(batches, "c"):
         c, floor = batch.column("c"), batch.column("floor").to_numpy()
         ids, vec = batch.column("m").to_numpy(), batch.column("vec")
         if not len(ids):
@@ -191,7 +219,7 @@ def bridges(nodes: DataFrame, edges: DataFrame, classes: DataFrame, threshold: f
     member = full.join(classes, "id").join(nodes.select("id", "g", "vec"), "id")
     size = member.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     member = member.join(size, "component").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    schema = "g string, component long, id long, ball long, radius double, vec array<float>"
+    schema = f"g string, component long, id long, ball long, radius double, vec {kind_of(nodes)}"
     balls = stage(member.select("g", "component", "part", "id", "vec").groupBy("component", "part").applyInArrow(_covered(threshold), schema), "balls")
     centre = balls.filter("id = ball").select("g", "component", "id", "radius", "vec")
     left, right = _paired(centre, "g", block)
@@ -205,9 +233,13 @@ def bridges(nodes: DataFrame, edges: DataFrame, classes: DataFrame, threshold: f
     return near.unionByName(found).filter(F.col("s") >= threshold)
 
 
+def kind_of(nodes: DataFrame) -> str:
+    return nodes.schema["vec"].dataType.simpleString()
+
+
 def neighbour_graph(nodes: DataFrame, k: int = 8, tables: int = 4, bits: int = 14, width: int = 4, rounds: int = 2, seed: int = 5, threshold: float = 0.98, audit_nodes: int = 256, min_recall: float = 0.95, more_rounds: int = 3) -> DataFrame:
     """Edges (u, v, s) of the refined lists of nodes (id, g, copies, vec); compared are nodes of one group g only."""
-    signed = nodes.mapInArrow(_signed(tables, bits, seed), "id long, g string, t int, sign long, x double, vec array<float>")
+    signed = nodes.mapInArrow(_signed(tables, bits, seed), f"id long, g string, t int, sign long, x double, vec {kind_of(nodes)}")
     ordered = signed.repartitionByRange("t", "g", "sign", "x", "id").sortWithinPartitions("t", "g", "sign", "x", "id")
     graph = stage(_best(ordered.mapInArrow(_window(width), EDGES), k), "graph")
     done = 0
@@ -329,7 +361,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     copies of each other.
     """
     spark = vectors.sparkSession
-    vec = F.col(vec_col).cast("array<float>")
+    single = vectors.schema[vec_col].dataType.simpleString() == "array<float>"
+    vec = F.col(vec_col).cast("array<float>" if single else "array<double>")  # no precision is lost
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), vec.alias("vec"))
     sound = F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size("vec") > 0) & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False))).withColumn("g", F.concat_ws(":", "label", F.size("vec").cast("string")))

@@ -262,15 +262,20 @@ def score(docs: DataFrame, index: BlockMaxIndex, text_col: str = "text", thresho
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = shared.value
+        ids = np.array(x.ids, np.int64)
         for batch in batches:
-            scores, near, terms = [], [], []
+            scores, rows, cosines, terms, cuts = [], [], [], [], [0]
             for text in batch.column(at):
                 v = x.vector(text.as_py() or "")
                 found = x.nearest(v, k)
                 scores.append(x.score(found))
-                near.append([{"id": x.ids[i], "cosine": c, "label": int(x.labels[i])} for c, i in found])
-                terms.append([x.terms[v[0][j]] for j in np.argsort(-v[1], kind="stable")[:8]])
-            columns = [pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(near, near_type), pa.array(terms, pa.list_(pa.string()))]
+                cosines += [c for c, _ in found]
+                rows += [i for _, i in found]
+                cuts.append(len(rows))
+                terms.append([x.terms[j] for j in v[0][np.argsort(-v[1], kind="stable")[:8]].tolist()])
+            own = np.array(rows, np.int64)
+            near = pa.StructArray.from_arrays([pa.array(ids[own]), pa.array(cosines, pa.float64()), pa.array(x.labels[own].astype(np.int32))], fields=list(near_type.value_type))
+            columns = [pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), near).cast(near_type), pa.array(terms, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*kept, *added])
 
     return docs.select(*kept).mapInArrow(lean(run), schema)
