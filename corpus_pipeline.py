@@ -18,7 +18,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOKENIZER = "word_bpe_49k.json"
 
 
-def keep_clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are predicted toxic go; all others stay as they are."""
     index = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, index).filter("predicted = 0").select(*COLUMNS)
@@ -31,14 +31,17 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at a similarity of 0.8, that with the smallest id stays."""
+    """Of documents linked by five-word shingles at a similarity of 0.8, that with the smallest id stays.
+
+    Rows of equal id go together, and only if all of them are copies of a smaller id.
+    """
     classes = ngram_join.join_classes(docs, words=5, percent=80)
-    copies = classes.filter("component_id <> doc_id").select("doc_id").distinct()
+    copies = classes.groupBy("doc_id").agg(F.min(F.col("component_id") < F.col("doc_id")).alias("gone")).filter("gone").select("doc_id")
     return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold an exact or edited copy of a benchmark item go."""
+    """Documents that hold an exact or edited copy of a benchmark item go, with all rows of their id."""
     hits = decontaminate.find(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(hits, "doc_id", "left_anti").select(*COLUMNS)
 
@@ -51,7 +54,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [
-    ("toxicity", keep_clean_language),
+    ("toxicity", drop_toxic),
     ("line_dedup", drop_repeated_lines),
     ("ngram_join", keep_one_of_near_copies),
     ("decontaminate", drop_benchmark_copies),
