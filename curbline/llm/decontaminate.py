@@ -228,6 +228,8 @@ def _find_block(texts: DataFrame, block: Block, min_score: float) -> DataFrame:
                             if not any(first <= p < last for p in places[lo:hi]):
                                 continue
                             window = w[first:last]
+                            if np.isin(own, window).sum() < min_score * len(own):  # every match needs an item word that is there
+                                continue
                             best, end = align(own, window)
                             if best >= min_score * len(own):
                                 start = end - align(own[::-1], window[:end][::-1])[1]
