@@ -43,7 +43,7 @@ def with_evidence(df: DataFrame, text: str = "text") -> DataFrame:
 def words_of_tsv(tsv: Column) -> Column:
     """Words of an OCR table (tab-separated, no quoting) with confidence of 45 or more: (text, width, height)."""
     lines = F.filter(F.split(tsv, "\n"), lambda x: F.length(x) > 0)
-    cells = F.transform(F.slice(lines, 2, 1_000_000), lambda x: F.split(x, "\t"))
+    cells = F.transform(F.slice(lines, F.lit(2), F.size(lines)), lambda x: F.split(x, "\t"))
     get = lambda c, k, t: F.get(c, F.lit(k)).try_cast(t)
     words = F.transform(cells, lambda c: F.struct(F.trim(F.get(c, F.lit(11))).alias("text"), get(c, 10, "double").alias("conf"), get(c, 8, "int").alias("width"), get(c, 9, "int").alias("height")))
     return F.filter(words, lambda w: (w["conf"] >= 45) & (F.length(w["text"]) > 0) & w["width"].isNotNull() & w["height"].isNotNull())

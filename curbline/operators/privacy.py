@@ -8,7 +8,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..schema import DETECTION
 
@@ -60,10 +59,21 @@ def _area_of(found: Column) -> Column:
     return F.aggregate(slabs, F.lit(0.0), lambda area, s: area + covered(s) * (s["b"] - s["a"]))
 
 
-@F.pandas_udf(DoubleType())
-def python_round4(x: pd.Series) -> pd.Series:
-    """Rounding to 4 places as Python does it; thresholds are applied to rounded values."""
-    return x.map(lambda v: None if pd.isna(v) else round(v, 4)).astype("float64")
+def python_round4(x: Column) -> Column:
+    """A share (0 to 1000) rounded to 4 places as Python does it, by its exact binary value; limits are applied to rounded values.
+
+    The value is split in two halves whose products with 10000 are exact, so the comparison with the middle is exact too.
+    """
+
+    def rounded(v: Column) -> Column:
+        wide = v * F.lit(134217729.0)  # 2^27 + 1
+        high = wide - (wide - v)
+        scaled = high * F.lit(10000.0)
+        whole = F.floor(scaled)
+        past = (scaled - whole - F.lit(0.5)) + (v - high) * F.lit(10000.0)  # its sign is that of the exact sum
+        return (whole + F.when((past > 0) | ((past == 0) & (whole % 2 == 1)), 1).otherwise(0)).cast("double") / F.lit(10000.0)
+
+    return F.get(F.transform(F.array(x), rounded), F.lit(0))  # x is computed once
 
 
 def with_blurred_share(df: DataFrame, detections: str = "detections", width: str = "width", height: str = "height") -> DataFrame:
@@ -77,7 +87,7 @@ def with_blurred_share(df: DataFrame, detections: str = "detections", width: str
     relative = F.transform(found, lambda b: F.array(F.round(b["x0"] / w, 4), F.round(b["y0"] / h, 4), F.round(b["x1"] / w, 4), F.round(b["y1"] / h, 4)))
     known = F.col(detections).isNotNull()
     return df.withColumns({
-        "privacy_blur": F.when(F.col("__share").isNotNull(), python_round4("__share")),
+        "privacy_blur": python_round4(F.col("__share")),
         "privacy_patches": F.when(known, F.size(found)),
         "privacy_record": F.when(known, "sgblur").otherwise("no record"),
         "privacy_boxes": F.when(known, relative).otherwise(F.array().cast("array<array<double>>")),

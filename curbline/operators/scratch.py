@@ -5,21 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the folder that ``spark.checkpoint.dir`` names and read it again; its lineage ends there.
+def place(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that ``spark.checkpoint.dir`` names.
 
     Only a ``local`` master may do without that setting: the one machine's temporary folder is shared by all then.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="curbline-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/curbline/{tag}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/curbline/{tag}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """Write df to a new path in the shared folder and read it again; its lineage ends there."""
+    path = place(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

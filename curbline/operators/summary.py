@@ -88,10 +88,11 @@ def tag_payload(judged: DataFrame, key: str = "street_view_quality", action: str
 
 
 def report_comment(median: str = "context.topiq_median") -> Column:
-    """Message of a report: the reason, the score and what the neighbours have."""
-    score = F.when(F.col("quality_score").isNotNull(), F.format_string(" (score %.2f)", F.col("quality_score"))).otherwise("")
-    near = F.when(F.col(median).isNotNull(), F.format_string(", neighbours %.2f", F.col(median))).otherwise("")
-    return F.concat(F.lit("Excluded: "), F.col("excluded"), score, near)
+    """Message of a report: the issues, the score, what the neighbours have, and the model; numbers rounded half up, unknown ones left out."""
+    two = lambda c: F.col(c).cast("decimal(30,20)").cast("decimal(10,2)").cast("string")
+    score = F.when(F.col("quality_score").isNotNull(), F.concat(F.lit("; score "), two("quality_score"))).otherwise("")
+    near = F.when(F.col(median).isNotNull(), F.concat(F.lit(" vs sequence median "), two(median))).otherwise("")
+    return F.concat(F.lit("Automated detection ("), F.array_join("issues", ", "), score, near, F.lit(") by "), F.col("model"))
 
 
 def script_json(c: Column) -> Column:

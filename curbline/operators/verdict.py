@@ -58,8 +58,8 @@ def judge_again(pictures: DataFrame, rules: Rules | None = None) -> DataFrame:
     return new.withColumns({c: F.when(held, old[c]).otherwise(F.col(c)) for c in ("excluded", "issues", "low_quality")}).drop("stored_verdict")
 
 
-def judge_uploads(in_order: DataFrame, position: str, rules: Rules | None = None) -> DataFrame:
-    """One ad-hoc sequence: rows in upload order become ranks 1, 2, ... of one collection; only measurements are read."""
+def judge_uploads(in_order: DataFrame, position: str, rules: Rules | None = None, upload: str | None = None) -> DataFrame:
+    """Ad-hoc sequences: rows in upload order become ranks 1, 2, ... of one collection, or of that which ``upload`` names; only measurements are read."""
     fields = [c for c in (*NEEDED[2:-1], "id", "camera") if c in in_order.columns]
-    rows = in_order.select(*[F.col(c).cast("string").alias(c) if c == "id" else F.col(c) for c in fields], F.lit("upload").alias("collection"), (F.col(position) + 1).cast("int").alias("rank"))
+    rows = in_order.select(*[F.col(c).cast("string").alias(c) if c == "id" else F.col(c) for c in fields], (F.col(upload).cast("string") if upload else F.lit("upload")).alias("collection"), (F.col(position) + 1).cast("int").alias("rank"))
     return judge(rows, rules)

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import policy
 from ..functions import text as texts
-from ..operators import context, dedupe, ingest, privacy, sampling, summary, vectors
+from ..operators import context, dedupe, evaluation, ingest, privacy, sampling, summary, vectors
 from ..operators import rules as R
+from ..operators.scratch import place
 from ..operators.verdict import judge, judge_again, judge_uploads
+from ..sources import files
 from .pictures import GAPPY_SQL, HARD_SQL, METADATA_SQL, NOT_SHARP_SQL, PICTURES_SQL, RULES, gappy, pictures, table, verdict_sql
 
 QUERIES: dict = {}
@@ -126,15 +129,13 @@ def frozen_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return judge_again(rows, RULES).select("id", "excluded", F.array_join("issues", ",").alias("issues"))
 
 
-UPLOAD_SQL = verdict_sql("ranked", """, ranked as (select * exclude (collection, rank), 'upload' as collection, cast(row_number() over (order by ts_order) as integer) as rank
-  from (select *, position as ts_order from pictures where collection = '7'))""")
+UPLOAD_SQL = verdict_sql("ranked", ", ranked as (select * exclude (rank), cast(row_number() over (partition by collection order by position) as integer) as rank from pictures)")
 
 
 @query(UPLOAD_SQL + "select id, rank, excluded, case when n >= 2 then n end as neighbours from judged")
 def upload_sequence(spark: SparkSession, d: str) -> DataFrame:
-    rows = pictures(spark, d).filter("collection = '7'")
     order = F.row_number().over(Window.partitionBy("collection").orderBy("position")) - 1
-    judged = judge_uploads(rows.withColumn("at", order), "at", RULES)
+    judged = judge_uploads(pictures(spark, d).withColumn("at", order), "at", RULES, "collection")
     return judged.select("id", "rank", "excluded", F.col("context.neighbours").cast("long").alias("neighbours"))
 
 
@@ -159,9 +160,9 @@ def verdict_totals(spark: SparkSession, d: str) -> DataFrame:
     return summary.totals(judge(pictures(spark, d), RULES))
 
 
-def _review(order: str, sql: str, kind: str = "all", where: str = "true"):
+def _review(order: str, sql: str, kind: str = "all", where: str = "true", value: str | None = None):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return summary.review_rows(judge(pictures(spark, d), RULES), order, kind).select("id", F.col("place").cast("long").alias("place"))
+        return summary.review_rows(judge(pictures(spark, d), RULES), order, kind, value).select("id", F.col("place").cast("long").alias("place"))
 
     run.__name__ = f"review_{order}" + ("" if kind == "all" else f"_{kind}")
     query(verdict_sql() + f"select id, row_number() over (order by {sql}) as place from judged where {where}")(run)
@@ -172,6 +173,8 @@ _review("best", "coalesce(quality_score, 0) desc, position")
 _review("sequence", "collection nulls first, coalesce(rank, 0), position")
 _review("worst", "excluded is null, coalesce(quality_score, 0), position", "excluded", "excluded is not null")
 _review("best", "coalesce(quality_score, 0) desc, position", "kept", "excluded is null")
+_review("worst", "excluded is null, coalesce(quality_score, 0), position", "reason", "excluded = 'privacy_blur'", "privacy_blur")
+_review("sequence", "collection nulls first, coalesce(rank, 0), position", "sequence", "collection = '3'", "3")
 
 
 @query(verdict_sql() + "select id, collection, rank, camera, excluded, quality_score, 'https://thumbs.example/' || id as thumb from judged")
@@ -249,11 +252,11 @@ def skip_known(spark: SparkSession, d: str) -> DataFrame:
     return ingest.skip_known(table(spark, d, "documents").select("doc_id", "lang"), table(spark, d, "labels"), "doc_id")
 
 
-@query("""with o as (select doc_id, lang, source from documents where doc_id % 3 <> 0), n as (select doc_id, max(quality) as quality, 'labelled' as lang from labels group by doc_id)
+@query("""with o as (select doc_id, lang, source from documents), n as (select doc_id * 2 as doc_id, max(quality) as quality, 'labelled' as lang from labels group by doc_id)
 select coalesce(o.doc_id, n.doc_id) as doc_id, case when n.doc_id is not null then n.lang else o.lang end as lang, o.source, n.quality from o full join n on o.doc_id = n.doc_id""")
 def upsert_meta(spark: SparkSession, d: str) -> DataFrame:
-    old = table(spark, d, "documents").filter("doc_id % 3 <> 0").select("doc_id", "lang", "source")
-    new = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality")).withColumn("lang", F.lit("labelled"))
+    old = table(spark, d, "documents").select("doc_id", "lang", "source")
+    new = table(spark, d, "labels").groupBy((F.col("doc_id") * 2).alias("doc_id")).agg(F.max("quality").alias("quality")).withColumn("lang", F.lit("labelled"))
     return ingest.upsert(old, new, "doc_id").select("doc_id", "lang", "source", "quality")
 
 
@@ -448,3 +451,116 @@ def percentile_consensus(spark: SparkSession, d: str) -> DataFrame:
 @query("select vec_id, round(sqrt(list_dot_product(embedding::double[], embedding::double[])), 9) as norm from embeddings")
 def vector_norms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.round(vectors.norm(F.col("embedding")), 9).alias("norm"))
+
+
+def _measured(spark: SparkSession, d: str) -> DataFrame:
+    """Pictures with a label, a variant, a shown rotation and scores that are higher for worse pictures."""
+    i = F.col("position")
+    return pictures(spark, d).withColumns({"label": (i * 31 % 7 < 3).cast("int"), "variant": F.concat(F.lit("v"), (i % 4).cast("string")), "shown": ((i * 3 % 8).cast("int") % 4) * 90, "flat": -F.col("cpbd"), "dull": -F.col("quality_score")})
+
+
+MEASURED_SQL = f"with {PICTURES_SQL}, m as (select *, cast(position * 31 % 7 < 3 as integer) as label, 'v' || (position % 4) as variant, cast(position * 3 % 8 % 4 * 90 as integer) as shown, -cpbd as flat, -quality_score as dull from pictures)"
+
+
+@query(MEASURED_SQL + """, l as (select measure, label, score from (select label, unnest(['blurred_area', 'flat', 'dull']) as measure, unnest([blurred_area, flat, dull]) as score from m) where score is not null),
+r as (select *, rank() over (partition by measure order by score) + (count(*) over (partition by measure, score) - 1) / 2.0::double as r from l),
+t as (select measure, count(*) filter (label = 1) as positives, count(*) filter (label = 0) as negatives, sum(r) filter (label = 1) as ranks from r group by measure)
+select measure, positives, negatives, round((ranks - positives * (positives + 1) / 2.0::double) / (positives * negatives), 9) as auc from t""")
+def evaluation_auc(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.auc_table(_measured(spark, d), ["blurred_area", "flat", "dull"], "label").withColumn("auc", F.round("auc", 9))
+
+
+@query(MEASURED_SQL + f""", f as (select *, cast(coalesce({NOT_SHARP_SQL}, false) as integer) as flag from m),
+b as (select avg(flag) as rate from f where variant = 'v0'),
+o as (select list(blurred_area order by blurred_area) filter (blurred_area is not null) as a, list(flat order by flat) filter (flat is not null) as c, any_value(rate) as rate from f, b where variant = 'v0'),
+p as (select *, (len(a) - 1) * (1 - rate) as pa, (len(c) - 1) * (1 - rate) as pc from o),
+t as (select a[floor(pa)::int + 1] + (coalesce(a[floor(pa)::int + 2], 0) - a[floor(pa)::int + 1]) * (pa - floor(pa)) as area, c[floor(pc)::int + 1] + (coalesce(c[floor(pc)::int + 2], 0) - c[floor(pc)::int + 1]) * (pc - floor(pc)) as flat from p)
+select variant, count(*) as pictures, round(avg(flag), 9) as rule, round(avg(cast(blurred_area > t.area as integer)), 9) as blurred_area, round(avg(cast(f.flat > t.flat as integer)), 9) as flat from f, t group by variant""")
+def evaluation_detection(spark: SparkSession, d: str) -> DataFrame:
+    out = evaluation.detection_table(_measured(spark, d), "variant", "v0", R.not_sharp(RULES), ["blurred_area", "flat"])
+    return out.withColumns({c: F.round(c, 9) for c in ("rule", "blurred_area", "flat")})
+
+
+@query(MEASURED_SQL + """, l as (select variant, drop from (select unnest(['blurred_area', 'cpbd']) as variant, unnest([quality_score - blurred_area, quality_score - cpbd]) as drop from m) where drop is not null)
+select variant, count(*) as pictures, round(median(drop), 9) as median, round(quantile_cont(drop, 0.9), 9) as p90, round(max(drop), 9) as most, count(*) filter (drop >= 0.1) as reach from l group by variant""")
+def evaluation_score_drop(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.score_drops(_measured(spark, d), "quality_score", ["blurred_area", "cpbd"]).withColumns({c: F.round(c, 9) for c in ("median", "p90", "most")})
+
+
+@query(MEASURED_SQL + "select shown as rotation, count(*) as pictures, count(*) filter (orientation = shown) as recognised, count(*) filter (orientation <> shown and orientation_confidence >= 0.9) as sure_but_wrong from m group by shown")
+def evaluation_rotation(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.rotation_table(_measured(spark, d), "shown", "orientation", "orientation_confidence")
+
+
+BOXES = [(0, -30.0, -20.0, 40.0, 25.0), (1, 0.0, 0.0, 90.0, 90.0), (2, 170.0, 60.0, 180.0, 90.0), (3, 10.0, 10.0, 10.0, 10.0)]
+
+
+@query(f"""with a(area, x0, y0, x1, y1) as (values {", ".join(map(str, BOXES))}), e as (select event_id, event_id % 360 - 180 as x, event_id % 180 - 90 as y from events)
+select event_id::varchar as id, area from e join a on x between x0 and x1 and y between y0 and y1""")
+def area_items(spark: SparkSession, d: str) -> DataFrame:
+    areas = spark.createDataFrame(BOXES, "area int, lon_min double, lat_min double, lon_max double, lat_max double")
+    return evaluation.area_samples(ingest.flatten_items(catalogue(spark, d)), areas).select("id", "area")
+
+
+@query("""select event_id as id, case when event_id % 4 = 3 then 0 else event_id % 3 end as boxes, case when event_id % 4 < 3 and event_id % 3 > 0 then (event_id % 50)::double end as x from events""")
+def header_records(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("event_id")
+    one = F.format_string('{"class": "face", "confidence": 0.5, "xywh": [%d, 2, 30, 40]}', i % 50)
+    listed = F.concat(F.lit("["), F.array_join(F.slice(F.array(one, one), F.lit(1), (i % 3).cast("int")), ", "), F.lit("]"))
+    text = F.when(i % 4 == 3, "{}").when(i % 2 == 0, listed).otherwise(F.concat(F.lit('{"info": '), listed, F.lit("}")))
+    return table(spark, d, "events").select(i.alias("id"), privacy.header_detections(text).alias("f")).select("id", F.size("f").cast("long").alias("boxes"), F.get(F.get("f", F.lit(0))["xywh"], F.lit(0)).alias("x"))
+
+
+@query("""with w as (select event_id as id, event_id % 7 <> 0 as available, case when event_id % 100 >= 45 then 1 else 0 end as a, case when event_id * 7 % 100 >= 45 then 1 else 0 end as b, event_id % 60 + 1 as w, event_id % 40 + 1 as h from events)
+select id, available, case when available then a + b else 0 end as words, case when available then round(least(100.0::double, (a + b) * w * h * 100.0::double / 30000), 6) else 0 end as area from w""")
+def ocr_evidence(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("event_id")
+    row = lambda conf, text: F.format_string("5\t1\t1\t1\t1\t1\t0\t0\t%d\t%d\t%d\t" + text, i % 60 + 1, i % 40 + 1, conf)
+    head = F.lit("\t".join(["level", "page_num", "block_num", "par_num", "line_num", "word_num", "left", "top", "width", "height", "conf", "text"]))
+    tsv = F.when(i % 7 != 0, F.array_join(F.array(head, row(i % 100, "sale"), row(i * 7 % 100, '"quoted'), row(i * 0 + 99, " ")), "\n"))
+    rows = table(spark, d, "events").select(i.alias("id"), tsv.alias("tsv"), F.lit(200).alias("w"), F.lit(150).alias("h"))
+    return texts.with_ocr_evidence(rows, "tsv", "w", "h").select("id", "available", F.col("words").cast("long").alias("words"), F.round("text_area_percent", 6).alias("area"))
+
+
+@query("select event_id as id, 'img' || lpad((event_id % 50)::varchar, 12, '0') || 'b' || lpad(event_id::varchar, 12, '0') || '.jpg' as key from events")
+def natural_order(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("event_id")
+    name = F.concat(F.lit("IMG"), (i % 50).cast("string"), F.lit("b"), i.cast("string"), F.lit(".JPG"))
+    return table(spark, d, "events").select(i.alias("id"), ingest.natural_key(name).alias("key"))
+
+
+@query(f"with {PICTURES_SQL} select collection, id, camera from pictures qualify row_number() over (partition by collection order by position) = 1")
+def first_by_id(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.first_by_id(pictures(spark, d), "position", "collection").select("collection", "id", "camera")
+
+
+TWO_PLACES = "cast(round(cast(cast({} as varchar) as decimal(30, 20)), 2) as decimal(10, 2))"
+
+
+@query(verdict_sql() + f"""select id, 'Automated detection (' || replace(issues, ',', ', ') || coalesce('; score ' || {TWO_PLACES.format("quality_score")}, '')
+  || case when n >= 2 and reason is null then coalesce(' vs sequence median ' || {TWO_PLACES.format("med")}, '') else '' end || ') by ' || model as comment from judged where issues <> ''""")
+def report_comment(spark: SparkSession, d: str) -> DataFrame:
+    judged = judge(pictures(spark, d), RULES)
+    return judged.filter(F.size("issues") > 0).select("id", summary.report_comment().alias("comment"))
+
+
+@query("select page_id, replace(html, '</', '<\\/') as html from pages")
+def script_json(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", summary.script_json(F.col("html")).alias("html"))
+
+
+@query(AD_SQL + """, s2 as (select id, ok, available, reject, case when id % 50 = 0 then 'error' when id % 31 = 0 then 'unavailable' when ok and available then 'complete' else 'partial' end as status from f)
+select id, status, case when status = 'error' then 'error' when status = 'unavailable' or status = 'partial' or not reject then 'accept' else 'reject' end as decision,
+  case when status = 'error' then 'processing_error' when status = 'unavailable' then 'check_unavailable' when status = 'partial' then 'inconclusive_evidence' when reject then 'obvious_advertisement' else 'no_obvious_advertisement' end as reason,
+  status in ('complete', 'partial') as checked from s2""")
+def advert_records(spark: SparkSession, d: str) -> DataFrame:
+    e = texts.evidence_score(*[F.col(c) for c in ("reference", "advertising", "available", "words", "area", "commerce")])
+    rows = _ad_inputs(spark, d).select("id", e.alias("evidence"), F.when(F.col("id") % 50 == 0, "unreadable").alias("error"), F.when(F.col("id") % 31 == 0, "no model").alias("unavailable"))
+    return policy.advert_records(rows).select("id", "status", "decision", "reason", "checked")
+
+
+@query(f"with {PICTURES_SQL} select id, collection, rank, camera, is_pano, gps_accuracy from pictures")
+def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    path = place(spark, "jsonl")
+    files.write_jsonl(pictures(spark, d).select("id", "collection", "rank", "camera", "is_pano", "gps_accuracy"), path)
+    return files.read_jsonl(spark, path, "id string, collection string, rank int, camera string, is_pano boolean, gps_accuracy double")
