@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 CLASSES = 128  # 0 is "no letter", 1 to 26 are a to z, all other letters share the rest
 DIM = 1024
+HELD = 1 << 20  # trigram counts that a task holds before it merges them, or gives out its sums
 TABLE_ROWS = 24_000  # trigram vectors kept by a worker; the table is begun anew when full
 
 
@@ -76,6 +77,26 @@ def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(code[c[1:-1] != 0], return_counts=True)
 
 
+class TrigramCounts:
+    """Counts of each language's trigrams, kept for those that occur."""
+
+    def __init__(self) -> None:
+        self.parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.held = 0
+
+    def add(self, lang: str, codes: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.setdefault(lang, []).append((codes, counts))
+        self.held += len(codes)
+
+    def merge(self) -> None:
+        for lang, parts in self.parts.items():
+            codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+            counts = np.zeros(len(codes), np.int64)
+            np.add.at(counts, at, np.concatenate([n for _, n in parts]))
+            self.parts[lang] = [(codes, counts)]
+        self.held = sum(len(p[0][0]) for p in self.parts.values())
+
+
 @lru_cache(1)
 def _vectors(dim: int, seed: int) -> TrigramVectors:
     return TrigramVectors(dim, seed)
@@ -84,22 +105,32 @@ def _vectors(dim: int, seed: int) -> TrigramVectors:
 def fit_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dim: int = DIM, seed: int = 11) -> dict[str, np.ndarray]:
     """Prototype of every non-null language, bundled over all rows of docs.
 
-    A task gives one vector for each language it meets, so the driver gets as many vectors as languages.
+    A task gives a vector for each language whenever it holds many distinct trigrams, and at its end; the vectors
+    are added up before they are collected, so the driver gets as many as there are languages.
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, dict] = {}
+        vectors = _vectors(dim, seed)
+        sums = TrigramCounts()
+
+        def bundled() -> Iterator[pa.RecordBatch]:
+            for lang, [(codes, counts)] in sums.parts.items():
+                v = vectors.bundle(codes, counts)
+                yield pa.RecordBatch.from_pydict({"lang": [lang], "v": pa.array([v.astype(np.int64)])})
+
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 codes, counts = trigrams(text)
-                if codes.size:
-                    total = sums.setdefault(lang, np.zeros(CLASSES**3, np.int64))
-                    total[codes] += counts
-        vectors = _vectors(dim, seed)
-        for lang, total in sums.items():
-            codes = np.flatnonzero(total)
-            v = vectors.bundle(codes, total[codes])
-            yield pa.RecordBatch.from_pydict({"lang": [lang], "v": pa.array([v.astype(np.int64)])})
+                if not codes.size:
+                    continue
+                sums.add(lang, codes, counts)
+                if sums.held > HELD:
+                    sums.merge()
+                    if sums.held > HELD // 2:
+                        yield from bundled()
+                        sums = TrigramCounts()
+        sums.merge()
+        yield from bundled()
 
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna()
     parts = rows.mapInArrow(partial, "lang string, v array<long>").select("lang", F.posexplode("v").alias("i", "x"))

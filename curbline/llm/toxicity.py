@@ -204,7 +204,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not s0 or not s1:
         return BlockMaxIndex.build([], [], [], [], [], [], 1.0 if s1 else 0.0 if s0 else 0.5)
     p = (F.col("n0") + F.col("n1")) / F.lit(s0 + s1)
-    z = (F.col("n1") / F.lit(s1) - F.col("n0") / F.lit(s0)) / F.sqrt(p * (1 - p) * F.lit(1 / s0 + 1 / s1))
+    # A term of all examples has no spread: its z is null and it is left out, as it tells nothing.
+    z = F.try_divide(F.col("n1") / F.lit(s1) - F.col("n0") / F.lit(s0), F.sqrt(p * (1 - p) * F.lit(1 / s0 + 1 / s1)))
     terms = sample.mapInArrow(lean(counted), "t string, n0 long, n1 long").groupBy("t").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     terms = terms.filter(F.col("n0") + F.col("n1") >= min_docs).withColumn("z", F.abs(z)).filter(F.col("z") >= min_z).orderBy(F.desc("z"), "t").limit(max_terms).collect()
     strength = {r["t"]: r["z"] for r in terms}
