@@ -391,10 +391,7 @@ def _hashes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with h as (select vec_id, {HASH_SQL} as h from embeddings) select a.vec_id as a, b.vec_id as b, cast(bit_count(xor(a.h, b.h)) as integer) as distance from h a join h b on a.vec_id < b.vec_id and bit_count(xor(a.h, b.h)) <= 14")
 def near_duplicates_pairs(spark: SparkSession, d: str) -> DataFrame:
-    rows = _hashes(spark, d)
-    classes = dedupe.near_hashes(rows, "dhash", 14, bits=56)
-    x = classes.join(rows.select(F.col("vec_id").alias("p"), F.col("dhash").alias("h1")), "h1").join(rows.select(F.col("vec_id").alias("q"), F.col("dhash").alias("h2")), "h2")
-    return x.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "distance")
+    return dedupe.near_pairs(_hashes(spark, d), "vec_id", "dhash", 14)
 
 
 @query(f"""with recursive h as (select vec_id, {HASH_SQL} as h, row_number() over (order by vec_id) as n from embeddings),

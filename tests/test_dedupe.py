@@ -1,4 +1,4 @@
-"""Copies with equal hashes, resembling references, long chains and many blocks."""
+"""Near copies with equal hashes, resembling references, long chains and many blocks."""
 
 import random
 from pathlib import Path
@@ -29,12 +29,24 @@ def copies(spark, folder):
     return con
 
 
-@pytest.mark.parametrize("name", ["dedupe_greedy"])
+@pytest.mark.parametrize("name", ["near_duplicates_pairs", "dedupe_greedy"])
 def test_queries_with_equal_hashes(spark, tmp_path, name):
     duck = copies(spark, tmp_path)
     expected = duck.sql(catalog.ORACLES[name])
     got = catalog.QUERIES[name](spark, f"file://{tmp_path}").select(*expected.columns).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(expected.fetchall(), key=repr)
+    assert name != "near_duplicates_pairs" or any(x["distance"] == 0 for x in got)
+
+
+def test_pairs_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(dedupe, "SMALL", 10)
+    monkeypatch.setattr(dedupe, "BLOCK", 25)
+    r = random.Random(5)
+    rows = [(i, r.choice([-1, 5, r.getrandbits(63), r.getrandbits(10)])) for i in range(400)] + [(400, None), (None, 5), (7, 5)]
+    got = [tuple(x) for x in dedupe.near_pairs(spark.createDataFrame(rows, "id long, h long"), "id", "h", 6).collect()]
+    good = [(i, h) for i, h in rows if i is not None and h is not None]
+    expected = [(i, j, d) for i, h in good for j, g in good if i < j and (d := bin((h ^ g) & (2**64 - 1)).count("1")) <= 6]
+    assert sorted(got) == sorted(expected) and len(got) > 1000
 
 
 @pytest.mark.parametrize("block", [7, 40, 32768])
