@@ -10,10 +10,14 @@ of a string are neighbours there; the bytes before and behind these blocks settl
 
 A gram that anchors more than ``max_pieces`` distinct pieces is not gathered: its strings are counted one by one by a
 128-bit hash, over all executors.
+
+Passages are a matter of words, not of bytes: runs of so many words that another text holds too.  They are reported, not
+removed, and found by the same cut into pieces, with a gram of 8 words as the anchor.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +26,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stage, lean, shuffle_partitions, stage, unused
+from .common import BLANKS, drop_stage, lean, shuffle_partitions, stage, unused
 from .suffix_array import suffix_array
 
 GRAM = 32
 BLOCK = 16
 CHUNK = 1 << 20  # texts beyond this are taken in overlapping chunks, each with its own pieces
 ODD = np.random.default_rng(17).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+WORD_GRAM = 8
+BLANK = np.isin(np.arange(256), list(BLANKS.encode()))
+BYTES = np.random.default_rng(19).integers(0, 2**64, 256, dtype=np.uint64)
 PIECES = "id long, tag long, at long, size int, anchor int, h long, c1 long, c2 long, l long, r long"
 
 
@@ -255,46 +262,195 @@ def find_repeats(texts: DataFrame, length: int, max_pieces: int = 8192) -> DataF
     return spans[0].unionByName(spans[1]).unionByName(spans[2])
 
 
-def _remove(kept: list[str], at: int, lo_col: str, hi_col: str):
+@functools.cache
+def _powers() -> np.ndarray:
+    powers = np.full(CHUNK + 1, ODD[0], np.uint64)
+    powers[0] = 1
+    return np.cumprod(powers, dtype=np.uint64)
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and 64-bit hashes of the words between white space."""
+    codes = np.frombuffer(data, np.uint8)
+    blank = np.concatenate(([True], BLANK[codes], [True]))
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    out, powers, k = np.empty(len(starts), np.uint64), _powers(), 0
+    size = len(powers) - 1
+    while k < len(starts):
+        base = starts[k]
+        j = int(np.searchsorted(ends, base + size, "right"))
+        if j == k:  # a word longer than a chunk
+            out[k] = xxhash.xxh3_64_intdigest(data[base : ends[k]])
+            k += 1
+            continue
+        part = BYTES[codes[base : ends[j - 1]]] * powers[: ends[j - 1] - base]
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(part, dtype=np.uint64)))
+        lo, hi = starts[k:j] - base, ends[k:j] - base
+        out[k:j] = (sums[hi] - sums[lo]) * powers[size - lo]
+        k = j
+    return starts, ends, _mix(out)
+
+
+def word_pieces(hashes: np.ndarray, words: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(starts, sizes, gram hashes, left and right context hashes), counted in words, of the runs of ``words``-word strings with one anchor."""
+    reach = (words - WORD_GRAM + 1) // 2  # a string has so many words on one side of its anchor gram at least
+    step, powers = np.arange(reach), np.cumprod(np.full(reach, ODD[8]), dtype=np.uint64)
+    for offset in range(0, max(1, len(hashes) - words + 1), CHUNK - words + 1):
+        part = hashes[offset : offset + CHUNK]
+        if len(part) < words:
+            return
+        m = len(part) - WORD_GRAM + 1
+        full = _mix(sum(part[k : k + m] * ODD[k] for k in range(WORD_GRAM)))
+        low = np.uint64(CHUNK - 1)
+        best = (_window_min((full & ~low) | np.arange(m, dtype=np.uint64), words - WORD_GRAM + 1) & low).astype(np.int64)
+        first = np.concatenate(([0], np.flatnonzero(best[1:] != best[:-1]) + 1))
+        last = np.append(first[1:], len(best)) - 1
+        anchor = best[first]
+
+        def context(begin: np.ndarray, ok: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(begin), np.uint64)
+            if ok.any():
+                out[ok] = _mix((part[begin[ok][:, None] + step] * powers).sum(axis=1, dtype=np.uint64)) | np.uint64(1)
+            return out
+
+        left = context(anchor - reach, anchor - reach >= first)
+        right = context(anchor + WORD_GRAM, anchor + WORD_GRAM + reach <= last + words)
+        yield offset + first, last - first + words, full[anchor], left, right
+
+
+def _halves(prints: list[int]) -> list[pa.Array]:
+    return [pa.array(np.array(half, np.uint64).view(np.int64)) for half in ([p & (2**64 - 1) for p in prints], [p >> 64 for p in prints])]
+
+
+WORD_PIECES = "id long, tag long, at long, size int, lo long, hi long, h long, l long, r long, c1 long, c2 long"
+WORD_STRINGS = "own boolean, id long, tag long, lo long, hi long, s1 long, s2 long"
+
+
+def _cut_words(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in WORD_PIECES.split(", ")]
         for batch in batches:
-            left, spans, n_bytes = [], [], []
+            for i, tag, text in zip(batch.column("id").to_pylist(), batch.column("tag").to_pylist(), batch.column("text")):
+                starts, ends, hashes = word_hashes(text.as_py().encode("utf-8", "surrogatepass"))
+                for at, size, h, left, right in word_pieces(hashes, words):
+                    prints = [xxhash.xxh3_128_intdigest(hashes[a : a + n]) for a, n in zip(at.tolist(), size.tolist())]
+                    same = [pa.array(np.full(len(at), x, np.int64)) for x in (i, tag)]
+                    rest = [pa.array(at), pa.array(size.astype(np.int32)), pa.array(starts[at]), pa.array(ends[at + size - 1]), *(pa.array(x.view(np.int64)) for x in (h, left, right))]
+                    yield pa.RecordBatch.from_arrays([*same, *rest, *_halves(prints)], names)
+
+    return run
+
+
+def _word_strings(words: int):
+    """One row for each ``words``-word string of the wanted pieces; only ``own`` ones ask for an answer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in WORD_STRINGS.split(", ")]
+        for batch in batches:
+            for i, tag, text, want in zip(batch.column("id").to_pylist(), batch.column("tag").to_pylist(), batch.column("text"), batch.column("want").to_pylist()):
+                starts, ends, hashes = word_hashes(text.as_py().encode("utf-8", "surrogatepass"))
+                at = np.concatenate([np.arange(w["at"], w["at"] + w["size"] - words + 1) for w in want])
+                own = np.repeat([w["own"] for w in want], [w["size"] - words + 1 for w in want])
+                prints = [xxhash.xxh3_128_intdigest(hashes[a : a + words]) for a in at.tolist()]
+                same = [pa.array(np.full(len(at), x, np.int64)) for x in (i, tag)]
+                yield pa.RecordBatch.from_arrays([pa.array(own), *same, pa.array(starts[at]), pa.array(ends[at + words - 1]), *_halves(prints)], names)
+
+    return run
+
+
+def find_passages(texts: DataFrame, words: int) -> DataFrame:
+    """(id, tag, lo, hi): byte spans, possibly overlapping, of ``words``-word strings that another row (id, tag, text) holds too.
+
+    Words are compared exactly, by 64-bit hashes; white space between them is not.  Rows of one id and text are one row.
+    """
+    if words < WORD_GRAM:
+        raise ValueError(f"words must be at least {WORD_GRAM}")
+    row, piece = F.struct("id", "tag"), F.struct("id", "tag", "at", "size")
+    least, most = F.min(row).alias("least"), F.max(row).alias("most")
+    cut = stage(texts.filter(F.octet_length("text") >= 2 * words - 1).mapInArrow(lean(_cut_words(words)), WORD_PIECES), "word-pieces")
+    several = stage(cut.groupBy("h").agg(least, most).filter("least <> most").select("h"), "shared-word-grams")
+    shared = stage(cut.join(several, "h", "left_semi"), "shared-word-pieces")
+    drop_stage(cut)
+    # Equal pieces of several rows are settled.  Others are looked at if a kind of piece has the same context on a side;
+    # two pieces stand for a settled kind.
+    of = ["h", "c1", "c2"]
+    kinds = shared.groupBy(*of).agg(least, most, F.array(F.min(piece), F.max(piece)).alias("ends"), F.first("l").alias("l"), F.first("r").alias("r"))
+    kinds = stage(kinds.withColumn("settled", F.expr("least <> most")), "word-piece-kinds")
+    spans = [shared.join(kinds.filter("settled").select(*of), of, "left_semi").select("id", "tag", "lo", "hi")]
+    sides = []
+    for side in ("l", "r"):
+        met = kinds.filter(F.col(side) != 0).groupBy("h", side).agg(F.min("least").alias("a"), F.max("most").alias("b"), F.min("settled").alias("all"))
+        met = stage(met.filter("a <> b and not all").select("h", side), "shared-word-sides")
+        sides.append(kinds.join(met, ["h", side], "left_semi").select(*of, "settled", "ends"))
+    open_ = stage(sides[0].unionByName(sides[1]).dropDuplicates(of), "open-word-pieces")
+    own = shared.join(open_.filter("not settled").select(*of), of, "left_semi").select("at", "size", F.lit(True).alias("own"), "id", "tag")
+    stand = open_.filter("settled").select(F.inline("ends")).select("at", "size", F.lit(False).alias("own"), "id", "tag")
+    wanted = own.unionByName(stand).groupBy("id", "tag").agg(F.collect_set(F.struct("at", "size", "own")).alias("want"))
+    wanted = stage(wanted, "wanted-word-pieces")
+    strings = texts.join(wanted, ["id", "tag"]).dropDuplicates(["id", "tag"]).select("id", "tag", "text", "want")
+    strings = stage(strings.mapInArrow(lean(_word_strings(words)), WORD_STRINGS), "word-strings")
+    again = strings.groupBy("s1", "s2").agg(least, most).filter("least <> most").select("s1", "s2")
+    spans.append(strings.filter("own").join(again, ["s1", "s2"], "left_semi").select("id", "tag", "lo", "hi"))
+    return spans[0].unionByName(spans[1])
+
+
+def _runs(lows: list[int] | None, highs: list[int] | None) -> list[list[int]]:
+    runs: list[list[int]] = []
+    for lo, hi in sorted(zip(lows or [], highs or [])):
+        if runs and lo <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], hi)
+        else:
+            runs.append([lo, hi])
+    return runs
+
+
+def _remove(kept: list[str], at: int, lo_col: str, hi_col: str, *passages: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, spans, n_bytes, kind = [], [], [], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             for text, lows, highs in zip(batch.column(at), batch.column(lo_col).to_pylist(), batch.column(hi_col).to_pylist()):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                runs: list[list[int]] = []
-                for lo, hi in sorted(zip(lows or [], highs or [])):
-                    if runs and lo <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], hi)
-                    else:
-                        runs.append([lo, hi])
+                runs = _runs(lows, highs)
                 edges = [0, *(x for r in runs for x in r), len(data)]
                 left.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])))
                 spans.append([{"start": a, "end": b} for a, b in runs])
                 n_bytes.append(len(data))
             columns = [batch.column(k) for k in range(len(kept))]
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_bytes, pa.int64()), pa.array(left, pa.binary()), pa.array(spans, kind)], [*kept, "n_bytes", "kept_bytes", "removed"])
+            added = {"n_bytes": pa.array(n_bytes, pa.int64()), "kept_bytes": pa.array(left, pa.binary()), "removed": pa.array(spans, kind)}
+            if passages:
+                found = zip(*(batch.column(c).to_pylist() for c in passages))
+                added["passages"] = pa.array([[{"start": a, "end": b} for a, b in _runs(*x)] for x in found], kind)
+            yield pa.RecordBatch.from_arrays([*columns, *added.values()], [*kept, *added])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, passage_words: int | None = None) -> DataFrame:
     """Add ``n_bytes``, ``kept_bytes`` and ``removed`` (maximal byte spans) to every row.
 
     A byte goes if a ``length``-byte string that covers it starts anywhere else, in the same text or in another.
     Null and empty texts have no bytes.  Rows with a null id take part like all others, and a row that is
     repeated counts as another place.  The added columns replace input columns of the same names.
+
+    With ``passage_words``, ``passages`` is added too: the maximal byte spans of strings of so many words that
+    another text holds as well, whatever their bytes.  They take nothing from ``kept_bytes``.
     """
-    added = ("n_bytes", "kept_bytes", "removed")
+    added = ("n_bytes", "kept_bytes", "removed") + (("passages",) if passage_words else ())
     kept = [c for c in docs.columns if c not in added]
     tag = F.xxhash64(text_col, F.col(id_col).isNull())
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-1))
-    texts = docs.select(key.alias("id"), tag.alias("tag"), F.col(text_col).alias("text")).filter(F.octet_length("text") >= length)
-    spans = find_repeats(texts, length)
+    texts = docs.select(key.alias("id"), tag.alias("tag"), F.col(text_col).alias("text"))
+    spans = find_repeats(texts.filter(F.octet_length("text") >= length), length).withColumn("word", F.lit(False))
+    if passage_words:
+        spans = spans.unionByName(find_passages(texts, passage_words).withColumn("word", F.lit(True)))
     # Touching pieces of a text are many; runs are merged before they meet the text.
-    gathered = spans.groupBy("id", "tag").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("s"))
-    own = unused(docs, "id", "tag", "lo", "hi")
-    gathered = stage(gathered.select("id", "tag", "s.lo", "s.hi"), "repeat-spans").toDF(*own)
+    of = lambda c: F.sort_array(F.collect_set(F.when(c, F.struct("lo", "hi"))))
+    gathered = spans.groupBy("id", "tag").agg(of(~F.col("word")).alias("s"), *([of(F.col("word")).alias("p")] if passage_words else []))
+    own = unused(docs, "id", "tag", "lo", "hi", *(("p_lo", "p_hi") if passage_words else ()))
+    gathered = stage(gathered.select("id", "tag", "s.lo", "s.hi", *(("p.lo", "p.hi") if passage_words else ())).toDF(*own), "repeat-spans")
     rows = docs.select(*kept, key.alias(own[0]), tag.alias(own[1])).join(gathered, own[:2], "left").select(*kept, *own[2:])
-    schema = docs.select(*kept).withColumns({"n_bytes": F.lit(0).cast("long"), "kept_bytes": F.lit(b""), "removed": F.array().cast("array<struct<start:bigint,end:bigint>>")}).schema
+    spans_type = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    empty = {"n_bytes": F.lit(0).cast("long"), "kept_bytes": F.lit(b""), "removed": spans_type, "passages": spans_type}
+    schema = docs.select(*kept).withColumns({c: empty[c] for c in added}).schema
     return rows.mapInArrow(lean(_remove(kept, kept.index(text_col), *own[2:])), schema)

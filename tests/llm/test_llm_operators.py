@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from curbline.llm import bpe, components, decontaminate, embedding_dedup, language_id, line_dedup, ngram_join, secrets, substring_dedup, toxicity, warc
+from curbline.llm import bpe, components, decontaminate, embedding_dedup, language_id, line_dedup, ngram_join, queries, secrets, substring_dedup, toxicity, warc
 from curbline.llm.suffix_array import suffix_array
 
 DOCS = "doc_id long, text string, n_links long"  # the last column clashes with names that operators use
@@ -431,6 +431,73 @@ def test_substring_dedup_long_texts_in_chunks(spark, monkeypatch):
     assert (covered == 1).all() and other
 
 
+def plain_passages(texts, n):
+    spots = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", (t or "").encode())] for t in texts]
+    held = {}
+    strings = [[tuple((t or "").encode()[a:b] for a, b in s[k : k + n]) for k in range(len(s) - n + 1)] for t, s in zip(texts, spots)]
+    for i, row in enumerate(strings):
+        for x in row:
+            held.setdefault(x, set()).add(i)
+    out = []
+    for s, row in zip(spots, strings):
+        runs = []
+        for k, x in enumerate(row):
+            if len(held[x]) > 1:
+                lo, hi = s[k][0], s[k + n - 1][1]
+                if runs and lo <= runs[-1][1]:
+                    runs[-1] = (runs[-1][0], hi)
+                else:
+                    runs.append((lo, hi))
+        out.append(runs)
+    return out
+
+
+def passage_texts():
+    r = random.Random(31)
+    shared = [words(r, n, "abcdeé").split() for n in (12, 30, 90)]
+    texts = [words(r, 60, "abcdeé") for _ in range(8)]
+    for _ in range(40):
+        part = r.choice(shared)
+        at = r.randrange(len(part) // 2)
+        texts.append(" ".join([words(r, r.randint(1, 30)), *part[at : at + r.randint(8, 60)], words(r, r.randint(1, 30))]))
+    near, own = texts[0].split(), words(r, 14)
+    texts += [texts[3], texts[3], None, "", " \n", "the " * 40, "the " * 12, texts[1].replace(" ", " \n\t"), " ".join([*near[:20], "x", *near[20:]])]
+    return [*texts, own + " y " + own, "a" * 200 + " " + texts[2], "a" * 200 + " " + texts[2]]
+
+
+def test_substring_dedup_passages(spark):
+    texts = passage_texts()
+    got = {x["doc_id"]: x for x in substring_dedup.remove_repeats(docs_of(spark, texts), length=128, passage_words=12).collect()}
+    for i, (runs, (n, kept, gone)) in enumerate(zip(plain_passages(texts, 12), plain_repeats(texts, 128)), 1):
+        x = got[i]
+        assert [tuple(s) for s in x["passages"]] == runs
+        assert (x["n_bytes"], bytes(x["kept_bytes"]), [tuple(s) for s in x["removed"]]) == (n, kept, gone)
+
+
+def test_substring_dedup_words_in_chunks(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "CHUNK", 64)
+    substring_dedup._powers.cache_clear()
+    texts = [t or "" for t in passage_texts()]
+    rows = [substring_dedup.word_hashes(t.encode())[2] for t in texts]
+    substring_dedup._powers.cache_clear()
+    assert len({x for row in rows for x in row.tolist()}) == len({w for t in texts for w in t.split()})
+    for row in rows:
+        starts = [a + k for at, size, *_ in substring_dedup.word_pieces(row, 12) for a, n in zip(at.tolist(), size.tolist()) for k in range(n - 11)]
+        assert starts == list(range(len(row) - 11))
+
+
+def test_substring_dedup_query_reports_short_passages(spark, tmp_path):
+    r = random.Random(8)
+    passage = " ".join(words(r, 1, "ab")[:5] + "x" for _ in range(52))
+    texts = [words(r, 80) + " " + passage + " " + words(r, 40), words(r, 70) + "\n" + passage, words(r, 200)]
+    assert len(passage.encode()) < 400
+    docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: x for x in queries.QUERIES["op8_substring_dedup"](spark, str(tmp_path)).collect()}
+    assert [(got[i]["n_removed"], got[i]["n_passages"]) for i in (1, 2, 3)] == [(0, 1), (0, 1), (0, 0)]
+    lo, hi = map(int, got[2]["passages"].split(":"))
+    assert texts[1].encode()[lo:hi].decode() == passage
+
+
 def test_substring_dedup_null_ids_and_empty(spark):
     assert substring_dedup.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
     t = "q" * 10 + words(random.Random(1), 200)
